@@ -11,6 +11,7 @@ from loomgate.llm.leaks import leaked_items
 from loomgate.llm.overlap import overlap_pairs, split_members, split_overlaps
 from loomgate.llm.packing import pack, token_counts
 from loomgate.llm.percentiles import digest, merge, quantiles
+from loomgate.llm.pii import find_pii, redact
 from loomgate.llm.quotas import cell_report, profiled_cells, quota_sample
 from loomgate.llm.stable_sample import permute_sql, stable_sample
 from loomgate.sources import table
@@ -117,11 +118,25 @@ def p9_report(spark, sf_dir):
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_if(F.col("edits") == 0).alias("n_exact"), F.count_if(F.col("edits") > 0).alias("n_near"))
 
 
+def _pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reviewer_roster"))
+
+
+def p10_found(spark, sf_dir):
+    """Every email address, phone number, identity number, street address and name in the documents."""
+    return _pii(spark, sf_dir).select("doc_id", "pii_type", "start_pos")
+
+
+def p10_redacted(spark, sf_dir):
+    """The documents with typed placeholders."""
+    return redact(table(spark, sf_dir, "documents"), _pii(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_sample,
-        p6_percentiles, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report,
+        p6_percentiles, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report, p10_found, p10_redacted,
     )
 }
 
