@@ -44,7 +44,7 @@ _STREET = re.compile(rf" {_L}[\w'-]+(,? \d{{1,4}}\b)?")
 _HOUSE = re.compile(r" \d{1,4}[a-z]?\b")
 _TOWN = re.compile(r"\.?(?:, (?:flat|apt) \d+\w?)?(?:,? ?\n?\d{4,5} [^\W\d_]+|, [A-Z][^\W\d_]+(?=[.\n\"',]|$))?", re.I)
 _DOMAIN = re.compile(r"\s?(?:@|\[at\]|\(at\))\s?((?:[\w-]+\.)+[a-z]{2,24})\b(?![.@]\w)")
-_SPELLED = re.compile(r" at ([\w-]+(?: dot [\w-]+)* dot [a-z]{2,24})\b")
+_SPELLED = re.compile(r" at ([\w-]+(?: dot [\w-]+)* dot [a-z]{2,24})\b(?! at [\w-]+ dot )")
 _LOCAL = re.compile(r"[\w+%'-]+(?:(?:\.| dot )[\w+%'-]+)*$")
 
 _EDGE, _STOP = r"(?<![\w.,#/@+-])", r"(?!\w|[-/.]\d)"
