@@ -48,10 +48,11 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     return durable(df.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens bigint"), "tokens")
 
 
-def pack_histogram(counts: dict[int, int], sizes: tuple[int, ...], overhead: float = 1.0) -> list[tuple[int, int, dict[int, int]]]:
+def pack_histogram(counts: dict[int, int], sizes: tuple[int, ...], overhead: float = 64.0) -> list[tuple[int, int, dict[int, int]]]:
     """Patterns (size, how many containers, {length: items in each}) that hold all items exactly once.
 
-    ``overhead`` is the cost of a container besides its size; among patterns of
+    ``overhead`` is the cost of a container besides its size, in tokens: a small
+    container must save more than that.  Among patterns of
     equal cost per token the larger size is opened.
     """
     left = {n: c for n, c in counts.items() if c > 0}
