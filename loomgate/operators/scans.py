@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgate.session import durable
+
 
 def prefix_scan(df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, name: str, largest: bool = False) -> DataFrame:
     """Running sum (or maximum, from 0) of ``value``, itself included, per key in the order (block, *order).
@@ -18,7 +20,8 @@ def prefix_scan(df: DataFrame, keys: list[str], block: Column, order: list[str],
     """
     fold = F.max if largest else F.sum
     join = F.greatest if largest else (lambda a, b: a + b)
-    rows = df.withColumn("_block", block).withColumn("_x", F.coalesce(value, F.lit(0)))
+    # read twice, so it is kept: scans in a row would else repeat all that came before
+    rows = durable(df.withColumn("_block", block).withColumn("_x", F.coalesce(value, F.lit(0))), "scan")
     blocks = rows.groupBy(*keys, "_block").agg(fold("_x").alias("_t"))
     before = fold("_t").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select(*keys, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -35,7 +38,7 @@ def fifo_times(jobs: DataFrame, keys: list[str], arrival: str = "arrival_us", se
     """
     w = Window.partitionBy(*keys, "_block").orderBy(arrival, order).rowsBetween(Window.unboundedPreceding, 0)
     rows = jobs.withColumn("_block", F.floor(F.col(arrival) / block_us)).withColumn("_s", F.sum(service).over(w))
-    rows = rows.withColumn("_m", F.max(F.col(arrival) - (F.col("_s") - F.col(service))).over(w))
+    rows = durable(rows.withColumn("_m", F.max(F.col(arrival) - (F.col("_s") - F.col(service))).over(w)), "fifo")
     blocks = rows.groupBy(*keys, "_block").agg(F.max("_s").alias("_bs"), F.max("_m").alias("_bm"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_s0", F.coalesce(F.sum("_bs").over(before), F.lit(0)))

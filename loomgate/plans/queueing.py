@@ -101,7 +101,7 @@ def r_serial_plan(spark, d):
 
 
 def _fifo(spark, d):
-    return fifo_times(routed(trace(spark, d), threshold(spark, d)), RUN)
+    return durable(fifo_times(routed(trace(spark, d), threshold(spark, d)), RUN), "replay")
 
 
 def q_fifo_wait(spark, d):
