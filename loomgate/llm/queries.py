@@ -80,13 +80,25 @@ def p5_sample(spark, sf_dir):
     return quota_sample(*_cells(spark, sf_dir))
 
 
-def p6_percentiles(spark, sf_dir):
-    """Percentiles per tier and length tercile, merged from one digest a day."""
+_P6 = ["tier", "input_length_tercile", "metric"]
+
+
+def _day_digests(spark, sf_dir):
+    """Digests of each day of measurements; re-delivered measurements count once."""
     rows = table(spark, sf_dir, "service_profile").select("measurement_id", "tier", plain(F.col("input_length_tercile")).alias("input_length_tercile"), F.to_date("measured_at").alias("day"), "wall_ms", "cuda_ms")
     once = rows.groupBy("measurement_id").agg(*[F.first(c).alias(c) for c in rows.columns[1:]])
     both = once.select("tier", "input_length_tercile", "day", F.explode(F.create_map(F.lit("wall_ms"), F.col("wall_ms"), F.lit("cuda_ms"), F.col("cuda_ms"))).alias("metric", "value"))
-    keys = ["tier", "input_length_tercile", "metric"]
-    return quantiles(merge(digest(both, [*keys, "day"], "value"), keys), keys, QUANTILES)
+    return digest(both, [*_P6, "day"], "value")
+
+
+def p6_percentiles(spark, sf_dir):
+    """Percentiles per tier and length tercile, merged from one digest a day."""
+    return quantiles(merge(_day_digests(spark, sf_dir), _P6), _P6, QUANTILES)
+
+
+def p6_day_digests(spark, sf_dir):
+    """The digests themselves, one a day, to be kept and merged later."""
+    return _day_digests(spark, sf_dir)
 
 
 def p7_found(spark, sf_dir):
@@ -136,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_sample,
-        p6_percentiles, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report, p10_found, p10_redacted,
+        p6_percentiles, p6_day_digests, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report, p10_found, p10_redacted,
     )
 }
 
