@@ -35,6 +35,12 @@ STREET_TAILS = ("weg", "straße", "strasse", "straãÿe", "straã\x9fe", "gasse"
 STREET_HEADS = ("rue", "calle", "avenida", "via")
 FLATS = ("apt", "apartment", "flat", "unit", "suite", "wohnung", "piso")
 
+# Words before a number that say what it is, in the languages of the corpus.
+LABELS = {
+    "phone": ("phone", "mobile", "tel", "telefon", "teléfono", "téléphone", "ring", "call", "fax", "appeler le", "appelez le", "llame al"),
+    "identity": ("passport", "pasaporte", "passeport", "reisepass", "ausweisnummer", "personalausweis", "identité", "identidad", "licence", "license", "national id", "id card", "id", "id_number", "tax number", "tax id", "steuernummer", "security number", "dni"),
+}
+
 _L = r"[^\W\d_]"
 _FLAT = rf"(?:(?:{'|'.join(FLATS)})\.? \d{{1,4}}\w?, )?"
 _BEFORE_END = re.compile(rf"(?<![\w#.,/-]){_FLAT}\d{{1,4}}[a-z]? {_L}[\w'-]*(?: {_L}[\w'-]*)?$")
@@ -245,20 +251,22 @@ def _with_worth(mentions: DataFrame, worth: DataFrame) -> DataFrame:
     return out.withColumn("left", F.coalesce("w_l2", "w_l1", F.lit(0.0))).withColumn("right", F.coalesce("w_r2", "w_r1", F.lit(0.0))).drop("w_l1", "w_l2", "w_r1", "w_r2")
 
 
-def number_mentions(found: DataFrame, kind: str, name: str, trust: float = 0.2, support: int = 3) -> DataFrame:
+def number_mentions(found: DataFrame, kind: str, name: str, trust: float = 0.2) -> DataFrame:
     """Accepted mentions of one kind of number.
 
-    Seeds are the numbers whose shape only this kind has.  A pattern counts
-    where at least ``trust`` of its mentions are seeds; numbers of an ambiguous
-    shape need such a pattern on one side.  Seeds are kept unless their
-    patterns are those of other numbers.
+    Seeds are the numbers whose shape only this kind has and those that follow
+    one of its labels.  A pattern counts where at least ``trust`` of its
+    mentions are seeds.  A number is accepted that has such a pattern on one
+    side or follows a label; a phone number of a shape of its own is accepted
+    anywhere.
     """
     own, like = kind, f"{kind}_like"
     mentions = found.filter(F.col("kind").isin(own, like))
-    worth = _pattern_worth(mentions, F.col("kind") == own, support)
+    labelled = F.col("l1").isin(*LABELS[kind]) | F.col("l2").isin(*LABELS[kind])
+    worth = _pattern_worth(mentions, (F.col("kind") == own) | labelled, 2)
     scored = _with_worth(mentions, worth)
     believed = F.greatest("left", "right") >= trust
-    doubtless = F.col("kind") == own if kind == "phone" else F.lit(False)
+    doubtless = labelled | (F.col("kind") == own if kind == "phone" else F.lit(False))
     return scored.filter(believed | doubtless).select("key", F.lit(name).alias("pii_type"), "start", "stop")
 
 
