@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgate.functions.hashing import uniform, uniform_sql
 from loomgate.functions.stats import exact_percentiles, jain
+from loomgate.operators.keyed import lookup_join
 from loomgate.operators.queues import simulate, virtual_finish
 from loomgate.operators.scans import busy_periods, fifo_times
 from loomgate.operators.workload import REGIMES, arrivals, assign_tenants, cascade_tier, decision, draw_service, light_threshold, serial_plan, traces
@@ -42,12 +43,29 @@ def jobs(spark, d):
     return e.join(light, "event_id").join(strong, "event_id").filter("input_length_tercile = t2").drop("t2").withColumn("tenant_id", tenant)
 
 
-def trace(spark, d):
-    """All traces as a table: every discipline sees the same arrivals and draws."""
+def tenants(spark, d):
+    """Whole sessions to 8 tenants, of which one takes half of all actions."""
+    e = events(spark, d).filter("split = 'evaluation'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return assign_tenants(e, TENANTS, 0.5)
+
+
+def assigned_jobs(spark, d):
+    """The jobs with the tenants of ``tenants``; those without a session are one session."""
+    named = F.coalesce(F.concat(F.lit("s"), "session_id"), F.lit(""))  # null keys match nothing
+    by_session = durable(tenants(spark, d).select(named.alias("_session"), "tenant_id"), "tenants")
+    rows = durable(jobs(spark, d).drop("tenant_id").withColumn("_session", named), "jobs")
+    return lookup_join(rows, by_session, "_session").drop("_session")
+
+
+def trace(spark, d, assigned: bool = False):
+    """All traces as a table: every discipline sees the same arrivals and draws.
+
+    ``assigned``: with the tenants of ``tenants``, one of them heavy; else by a hash of the session, as the SQL has it.
+    """
     pool = samples(spark, d)
     strong = pool.filter("tier = 'strong'").agg(F.coalesce(F.sum("us"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     reference = strong["s"] // max(strong["n"], 1)
-    rows = arrivals(traces(jobs(spark, d), REGIMES, SEEDS), reference)
+    rows = arrivals(traces((assigned_jobs if assigned else jobs)(spark, d), REGIMES, SEEDS), reference)
     rows = draw_service(draw_service(rows, pool, "light", "light_us"), pool, "strong", "strong_us")
     return durable(rows, "trace")
 
@@ -86,8 +104,7 @@ def g_service_draw(spark, d):
 
 def g_tenant_assignment(spark, d):
     """Whole sessions to 8 tenants, of which one takes half of all actions."""
-    e = events(spark, d).filter("split = 'evaluation'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    return assign_tenants(e, TENANTS, 0.5)
+    return tenants(spark, d)
 
 
 def r_route_cascade(spark, d):
@@ -113,21 +130,27 @@ def q_busy_periods(spark, d):
     return rows.groupBy(*RUN, "busy_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.min("arrival_us").alias("from_us"), F.max("completion_us").alias("to_us"))
 
 
-def _costed(spark, d):
+def _costed(spark, d, assigned: bool = False):
     """The cascade's jobs with their estimated cost: the mean of the tier and tercile, never the sampled time."""
     t = threshold(spark, d)
     means = samples(spark, d).groupBy("tier", "input_length_tercile").agg(F.floor(F.sum("us") / F.count(F.lit(1))).alias("cost_us"))
-    rows = routed(trace(spark, d), t).filter("method = 'cascade_fifo'").drop("method").withColumn("tier", cascade_tier(t))
+    rows = routed(trace(spark, d, assigned), t).filter("method = 'cascade_fifo'").drop("method").withColumn("tier", cascade_tier(t))
     return virtual_finish(rows.join(F.broadcast(means), ["tier", "input_length_tercile"]), KEYS)  # one row a tier and tercile
 
 
 def q_virtual_finish(spark, d):
+    """With tenants by a hash of the session, as the SQL has it; ``q_assigned_vfinish`` has the heavy tenant."""
     return _costed(spark, d).select(*KEYS, "event_id", "tenant_id", "vfinish_us")
 
 
+def q_assigned_vfinish(spark, d):
+    """Virtual finish times of the tenants that the disciplines are replayed with."""
+    return _costed(spark, d, assigned=True).select(*KEYS, "event_id", "tenant_id", "vfinish_us")
+
+
 def outcomes(spark, d, discipline: str):
-    """Outcomes of a discipline over the cascade's service times."""
-    rows = _costed(spark, d)
+    """Outcomes of a discipline over the cascade's service times, with a heavy tenant."""
+    rows = _costed(spark, d, assigned=True)
     mean = rows.agg(F.coalesce(F.avg("cost_us"), F.lit(1.0))).first()[0]
     rows = rows.withColumn("cost", F.col("cost_us") / F.lit(mean)).withColumn("sequence", F.col("event_id"))
     if discipline != "drr":
@@ -214,7 +237,7 @@ def t_gate_gain(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c_threshold, g_arrivals, g_service_draw, g_tenant_assignment, r_route_cascade, r_serial_plan, q_fifo_wait, q_busy_periods, q_virtual_finish,
+        c_threshold, g_arrivals, g_service_draw, g_tenant_assignment, r_route_cascade, r_serial_plan, q_fifo_wait, q_busy_periods, q_virtual_finish, q_assigned_vfinish,
         q_fifo_timeout, q_risk_priority, q_tenant_vfinish, q_drr, m_method_metrics, m_tenant_fairness, b_session_bootstrap, t_gate_gain,
     )
 }
