@@ -12,11 +12,16 @@ from loomgate.operators.queues import simulate, virtual_finish
 from loomgate.operators.scans import busy_periods, fifo_times
 from loomgate.operators.workload import REGIMES, arrivals, assign_tenants, cascade_tier, decision, draw_service, light_threshold, serial_plan, traces
 from loomgate.plans.base import EV, SC, SP, events, measurements, scores
-from loomgate.session import durable
+from loomgate.session import discard, durable
 
 SEEDS = (1, 2, 3)
 TENANTS = 8
 MAX_WAIT_US = 1_500_000
+#: Methods of the replays under the age limit, with the discipline and the method whose route and service they take.
+METHODS = {
+    "all_strong_fifo": ("fifo", "all_strong_fifo"), "cascade_fifo": ("fifo", "cascade_fifo"), "serial_cascade_fifo": ("fifo", "serial_cascade_fifo"),
+    "cascade_risk_priority": ("risk_priority", "cascade_fifo"), "cascade_tenant_vfinish": ("tenant_vfinish", "cascade_fifo"), "cascade_drr": ("drr", "cascade_fifo"),
+}
 KEYS = ["regime", "seed"]
 RUN = ["regime", "seed", "method"]
 
@@ -133,8 +138,12 @@ def q_busy_periods(spark, d):
 def _costed(spark, d, assigned: bool = False):
     """The cascade's jobs with their estimated cost: the mean of the tier and tercile, never the sampled time."""
     t = threshold(spark, d)
+    return _with_costs(spark, d, routed(trace(spark, d, assigned), t).filter("method = 'cascade_fifo'").drop("method"), t)
+
+
+def _with_costs(spark, d, cascade, t: float):
     means = samples(spark, d).groupBy("tier", "input_length_tercile").agg(F.floor(F.sum("us") / F.count(F.lit(1))).alias("cost_us"))
-    rows = routed(trace(spark, d, assigned), t).filter("method = 'cascade_fifo'").drop("method").withColumn("tier", cascade_tier(t))
+    rows = cascade.withColumn("tier", cascade_tier(t))
     return virtual_finish(rows.join(F.broadcast(means), ["tier", "input_length_tercile"]), KEYS)  # one row a tier and tercile
 
 
@@ -148,11 +157,40 @@ def q_assigned_vfinish(spark, d):
     return _costed(spark, d, assigned=True).select(*KEYS, "event_id", "tenant_id", "vfinish_us")
 
 
+def _normal_cost(rows):
+    mean = rows.agg(F.coalesce(F.avg("cost_us"), F.lit(1.0))).first()[0]
+    return rows.withColumn("cost", F.col("cost_us") / F.lit(mean))
+
+
+def limited(spark, d, methods: tuple[str, ...] = tuple(METHODS)):
+    """Outcomes of the methods under the age limit, in traces with the heavy tenant."""
+    t = threshold(spark, d)
+    traced = trace(spark, d, assigned=True)
+    timed = fifo_times(routed(traced, t).filter(F.col("method").isin(*{METHODS[m][1] for m in methods})), RUN)
+    timed = durable(busy_periods(timed, RUN).drop("start_us", "completion_us", "wait_us"), "routed")
+    discard(traced)
+    rows = timed.withColumn("sequence", F.col("event_id"))
+    queue = rows.filter(F.col("method").isin(*methods)).withColumn("vfinish_us", F.lit(0).cast("bigint")).withColumn("cost", F.lit(0.0))
+    others = [m for m in methods if METHODS[m][0] != "fifo"]
+    kept = [timed]
+    if others:
+        kept.append(durable(_with_costs(spark, d, rows.filter("method = 'cascade_fifo'"), t), "cascade"))
+        cascade = _normal_cost(kept[-1]).withColumn("method", F.explode(F.array(*[F.lit(m) for m in others])))
+        queue = queue.unionByName(cascade.select(*queue.columns))
+    done = None
+    for discipline in sorted({METHODS[m][0] for m in methods}):
+        mine = [m for m in methods if METHODS[m][0] == discipline]
+        part = simulate(queue.filter(F.col("method").isin(*mine)), RUN, discipline, MAX_WAIT_US, TENANTS)
+        done = part if done is None else done.unionByName(part)
+    out = durable(done.join(queue.drop("busy_id", "sequence", "vfinish_us", "cost"), [*RUN, "event_id"]), "outcomes")
+    for table in kept:
+        discard(table)
+    return out
+
+
 def outcomes(spark, d, discipline: str):
     """Outcomes of a discipline over the cascade's service times, with a heavy tenant."""
-    rows = _costed(spark, d, assigned=True)
-    mean = rows.agg(F.coalesce(F.avg("cost_us"), F.lit(1.0))).first()[0]
-    rows = rows.withColumn("cost", F.col("cost_us") / F.lit(mean)).withColumn("sequence", F.col("event_id"))
+    rows = _normal_cost(_costed(spark, d, assigned=True)).withColumn("sequence", F.col("event_id"))
     if discipline != "drr":
         rows = busy_periods(fifo_times(rows, KEYS), KEYS)
     rows = durable(rows, "queue")
@@ -183,35 +221,50 @@ def q_drr(spark, d):
 
 
 def _metrics(done):
+    """``done`` has ``timed_out``: such a job waited to the limit, was abstained from and took no service."""
     p = exact_percentiles(done, RUN, "wait_us", {"wait_p50": 0.5, "wait_p95": 0.95})
     lat = exact_percentiles(done.withColumn("latency_us", F.col("completion_us") - F.col("arrival_us")), RUN, "latency_us", {"latency_p95": 0.95}).drop("n")
     benign, unsafe = F.col("ground_truth_safety") == "benign_expected", F.col("ground_truth_safety") != "benign_expected"
-    made = decision(F.col("label"), F.lit(False))
+    made = decision(F.col("label"), F.col("timed_out"))
     g = done.groupBy(*RUN).agg(
-        F.sum("service_us").alias("busy"), F.greatest(F.max("completion_us") - F.min("arrival_us"), F.lit(1)).alias("span"), F.count_if(benign & (made == "allow")).alias("n_benign_pass"),
+        F.sum(F.when(F.col("timed_out"), 0).otherwise(F.col("service_us"))).alias("busy"), F.count_if("timed_out").alias("n_timed_out"), F.greatest(F.max("completion_us") - F.min("arrival_us"), F.lit(1)).alias("span"), F.count_if(benign & (made == "allow")).alias("n_benign_pass"),
         F.count_if(benign).alias("n_benign"), F.count_if(unsafe & (made == "allow")).alias("n_dangerous"), F.count_if(made == "abstain").alias("n_abstain"),
     )
     r6 = lambda c: F.round(c, 6)
     return p.join(lat, RUN).join(g, RUN).select(
-        *RUN, "n", r6("wait_p50").alias("wait_p50_us"), r6("wait_p95").alias("wait_p95_us"), r6("latency_p95").alias("latency_p95_us"), r6(F.col("busy") / F.col("span")).alias("utilization"),
-        r6(F.col("n") / (F.col("span") / 1e6)).alias("throughput"), r6(F.col("n_benign_pass") / F.greatest("n_benign", F.lit(1))).alias("benign_pass_rate"), "n_dangerous", r6(F.col("n_abstain") / F.col("n")).alias("abstain_rate"),
+        *RUN, "n", "n_timed_out", r6("wait_p50").alias("wait_p50_us"), r6("wait_p95").alias("wait_p95_us"), r6("latency_p95").alias("latency_p95_us"), r6(F.col("busy") / F.col("span")).alias("utilization"),
+        r6((F.col("n") - F.col("n_timed_out")) / (F.col("span") / 1e6)).alias("throughput"), r6(F.col("n_benign_pass") / F.greatest("n_benign", F.lit(1))).alias("benign_pass_rate"), "n_dangerous", r6(F.col("n_abstain") / F.col("n")).alias("abstain_rate"),
     )
 
 
 def m_method_metrics(spark, d):
-    return _metrics(_fifo(spark, d))
+    """The first-come methods without an age limit, as the SQL has it; ``m_limited_metrics`` has the limit."""
+    return _metrics(_fifo(spark, d).withColumn("timed_out", F.lit(False))).drop("n_timed_out")
 
 
-def m_tenant_fairness(spark, d):
-    """Fairness over all tenants, those without jobs included, of what was served within 300 ms."""
-    done = _fifo(spark, d)
-    per = done.groupBy(*RUN, "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("wait_us") <= 300_000).alias("quick"))
+def m_limited_metrics(spark, d):
+    """Every method under the age limit."""
+    return _metrics(limited(spark, d))
+
+
+def _fairness(done, quick):
+    per = done.groupBy(*RUN, "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(quick).alias("quick"))
     every = done.select(*RUN).distinct().select(*RUN, F.explode(F.sequence(F.lit(0), F.lit(TENANTS - 1))).alias("tenant_id"))
     share = F.coalesce(F.col("quick") / F.col("n"), F.lit(1.0))
     rows = every.join(per, [*RUN, "tenant_id"], "left").withColumn("share", share)
     return rows.groupBy(*RUN).agg(F.round(jain(F.col("share")), 6).alias("jain"), F.round(F.min("share"), 6).alias("worst_share"))
 
 
+def m_tenant_fairness(spark, d):
+    """Fairness over all tenants, those without jobs included, of what was served within 300 ms; no age limit, as the SQL has it."""
+    return _fairness(_fifo(spark, d), F.col("wait_us") <= 300_000)
+
+
+def m_limited_fairness(spark, d):
+    """Fairness over all tenants, those without jobs included, of what was served before the age limit."""
+    return _fairness(limited(spark, d), ~F.col("timed_out"))
+
+
 def b_session_bootstrap(spark, d):
     """Paired bootstrap over sessions: how much the cascade changes the 95th percentile of latency, 40 resamples."""
     done = _fifo(spark, d).filter("regime = 'near_saturation' and seed = 1 and method in ('all_strong_fifo', 'cascade_fifo')")
@@ -227,8 +280,16 @@ def b_session_bootstrap(spark, d):
 
 
 def t_gate_gain(spark, d):
-    """Per regime: median over the seeds of what each method gains on all-strong, and whether it is a fifth."""
-    m = m_method_metrics(spark, d)
+    """Per regime: median over the seeds of what each method gains on all-strong, and whether it is a fifth; no age limit, as the SQL has it."""
+    return _gain(m_method_metrics(spark, d))
+
+
+def t_limited_gain(spark, d):
+    """``t_gate_gain`` of every method under the age limit."""
+    return _gain(m_limited_metrics(spark, d))
+
+
+def _gain(m):
     base = m.filter("method = 'all_strong_fifo'").select(*KEYS, F.col("latency_p95_us").alias("base"))
     gain = m.filter("method <> 'all_strong_fifo'").join(base, KEYS).withColumn("gain", 1 - F.col("latency_p95_us") / F.greatest("base", F.lit(0.001)))
     return gain.groupBy("regime", "method").agg(F.round(F.percentile("gain", 0.5), 6).alias("median_gain")).withColumn("passes", F.col("median_gain") >= 0.2)
@@ -239,6 +300,7 @@ QUERIES = {
     for f in (
         c_threshold, g_arrivals, g_service_draw, g_tenant_assignment, r_route_cascade, r_serial_plan, q_fifo_wait, q_busy_periods, q_virtual_finish, q_assigned_vfinish,
         q_fifo_timeout, q_risk_priority, q_tenant_vfinish, q_drr, m_method_metrics, m_tenant_fairness, b_session_bootstrap, t_gate_gain,
+        m_limited_metrics, m_limited_fairness, t_limited_gain,
     )
 }
 
