@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgate.functions.hashing import uniform, uniform_sql
 from loomgate.functions.stats import exact_percentiles, jain
+from loomgate.operators.bootstrap import session_bootstrap
 from loomgate.operators.keyed import lookup_join
 from loomgate.operators.queues import simulate, virtual_finish
 from loomgate.operators.scans import busy_periods, fifo_times
@@ -17,6 +18,7 @@ from loomgate.session import discard, durable
 SEEDS = (1, 2, 3)
 TENANTS = 8
 MAX_WAIT_US = 1_500_000
+RESAMPLES = 2000
 #: Methods of the replays under the age limit, with the discipline and the method whose route and service they take.
 METHODS = {
     "all_strong_fifo": ("fifo", "all_strong_fifo"), "cascade_fifo": ("fifo", "cascade_fifo"), "serial_cascade_fifo": ("fifo", "serial_cascade_fifo"),
@@ -266,7 +268,7 @@ def m_limited_fairness(spark, d):
 
 
 def b_session_bootstrap(spark, d):
-    """Paired bootstrap over sessions: how much the cascade changes the 95th percentile of latency, 40 resamples."""
+    """Paired bootstrap over sessions: how much the cascade changes the 95th percentile of latency, 40 resamples of one trace, as the SQL has it."""
     done = _fifo(spark, d).filter("regime = 'near_saturation' and seed = 1 and method in ('all_strong_fifo', 'cascade_fifo')")
     done = durable(done.select("method", "session_id", (F.col("completion_us") - F.col("arrival_us")).alias("latency")), "paired")
     ids = durable(done.select("session_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("session_id")) - 1), "sessions")
@@ -279,6 +281,15 @@ def b_session_bootstrap(spark, d):
     return wide.agg(*[F.round(F.percentile(gain, q), 6).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
 
 
+def b_limited_bootstrap(spark, d):
+    """Per trace: 95 % interval of what virtual finish gains on all-strong in the 95th percentile of latency, under the age limit."""
+    done = limited(spark, d, ("all_strong_fifo", "cascade_tenant_vfinish"))
+    rows = done.select(*KEYS, "session_id", (F.col("method") == "all_strong_fifo").alias("base"), (F.col("completion_us") - F.col("arrival_us")).alias("latency"))
+    gains = session_bootstrap(rows, KEYS, RESAMPLES)
+    points = [F.round(F.percentile("gain", q), 6).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))]
+    return gains.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_resamples"), *points)
+
+
 def t_gate_gain(spark, d):
     """Per regime: median over the seeds of what each method gains on all-strong, and whether it is a fifth; no age limit, as the SQL has it."""
     return _gain(m_method_metrics(spark, d))
@@ -300,7 +311,7 @@ QUERIES = {
     for f in (
         c_threshold, g_arrivals, g_service_draw, g_tenant_assignment, r_route_cascade, r_serial_plan, q_fifo_wait, q_busy_periods, q_virtual_finish, q_assigned_vfinish,
         q_fifo_timeout, q_risk_priority, q_tenant_vfinish, q_drr, m_method_metrics, m_tenant_fairness, b_session_bootstrap, t_gate_gain,
-        m_limited_metrics, m_limited_fairness, t_limited_gain,
+        m_limited_metrics, m_limited_fairness, b_limited_bootstrap, t_limited_gain,
     )
 }
 

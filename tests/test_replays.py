@@ -102,3 +102,30 @@ def test_flagship_has_the_age_limit(spark):
     rows = entry.entry(spark).collect()
     assert {r["method"] for r in rows} == set(queueing.METHODS)
     assert max(r["wait_p95_us"] for r in rows) <= queueing.MAX_WAIT_US
+
+
+def test_bootstrap_is_brute_force(spark):
+    """Resamples with their rows written out, sessions of unequal size, one of them without a pair."""
+    import random
+
+    import numpy as np
+
+    from loomgate.operators.bootstrap import session_bootstrap, session_draws
+
+    rng = random.Random(5)
+    rows = [(f"r{k}", 1, f"s{rng.randrange(12):02d}", base, rng.randrange(50)) for k in range(2) for base in (True, False) for _ in range(150)]
+    rows += [("r0", 1, "lonely", True, 10**6)]
+    df = spark.createDataFrame(rows, "regime string, seed int, session_id string, base boolean, latency bigint")
+    got = {(r["regime"], r["b"]): r["gain"] for r in session_bootstrap(df, ["regime", "seed"], 90).collect()}
+    assert len(got) == 180
+    for (regime, b), gain in got.items():
+        names = sorted({r[2] for r in rows if r[0] == regime} - {"lonely"})
+        drawn = [names[i] for i in session_draws((regime, 1), b, len(names))]
+        a, c = (np.percentile([r[4] for s in drawn for r in rows if r[0] == regime and r[2] == s and r[3] == base], 95) for base in (True, False))
+        assert abs(gain - (a - c) / max(a, 0.001)) < 1e-9
+
+
+def test_bootstrap_of_every_trace(spark, sf_dir):
+    rows = queueing.b_limited_bootstrap(spark, sf_dir).collect()
+    assert len({(r["regime"], r["seed"]) for r in rows}) == len(rows) == 9
+    assert all(r["n_resamples"] == 2000 and r["low"] <= r["mid"] <= r["high"] for r in rows)
