@@ -14,6 +14,7 @@ from loomgate.llm.percentiles import digest, merge, quantiles
 from loomgate.llm.pii import find_pii, redact
 from loomgate.llm.quotas import cell_report, profiled_cells, quota_sample
 from loomgate.llm.stable_sample import permute_sql, stable_sample
+from loomgate.session import durable
 from loomgate.sources import table
 
 QUANTILES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -30,7 +31,7 @@ def p1_found(spark, sf_dir):
 
 
 def p1_report(spark, sf_dir):
-    """Per source: actions of the evaluation split, and how many overlap with calibration."""
+    """Per source: actions of the evaluation split, and how many overlap with calibration; ``p1_split_report`` has both splits."""
     members, links = _overlaps(spark, sf_dir)
     source = table(spark, sf_dir, "event_manifest").select("event_id", plain(F.col("source")).alias("source")).distinct()
     hit = links.select(F.col("eval_class").alias("class")).distinct().withColumn("hit", F.lit(1))
@@ -38,6 +39,19 @@ def p1_report(spark, sf_dir):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_evaluation"), F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("n_overlapping"))
 
 
+def p1_split_report(spark, sf_dir):
+    """Per split and source: actions, and how many overlap with the other split."""
+    members, links = _overlaps(spark, sf_dir)
+    source = table(spark, sf_dir, "event_manifest").select("event_id", plain(F.col("source")).alias("source")).distinct()
+    links = durable(links.select("eval_class", "train_class"), "links")
+    by_eval = links.select(F.lit(True).alias("in_eval"), F.col("eval_class").alias("class"))
+    by_train = links.select(F.lit(False).alias("in_eval"), F.col("train_class").alias("class"))
+    hit = by_eval.unionByName(by_train).distinct().withColumn("hit", F.lit(1))
+    rows = members.join(hit, ["in_eval", "class"], "left").join(source, "event_id")
+    split = F.when(F.col("in_eval"), "evaluation").otherwise("calibration").alias("split")
+    return rows.groupBy(split, "source").agg(F.count(F.lit(1)).alias("n_actions"), F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("n_overlapping"))
+
+
 def p2_sample_events(spark, sf_dir):
     """A tenth of the actions, stable under reruns and growth."""
     return stable_sample(table(spark, sf_dir, "event_manifest"), "event_id", 0.1)
@@ -147,7 +161,7 @@ def p10_redacted(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_sample,
+        p1_found, p1_report, p1_split_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_sample,
         p6_percentiles, p6_day_digests, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report, p10_found, p10_redacted,
     )
 }
