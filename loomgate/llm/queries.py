@@ -10,9 +10,9 @@ from loomgate.llm.groups import action_groups, group_splits, torn_groups
 from loomgate.llm.leaks import leaked_items
 from loomgate.llm.overlap import overlap_pairs, split_members, split_overlaps
 from loomgate.llm.packing import pack, token_counts
-from loomgate.llm.percentiles import digest, merge, quantiles
+from loomgate.llm.percentiles import HALF, LEVELS, PER_OCTAVE, K, digest, merge, quantiles, rank_check, running_quantiles
 from loomgate.llm.pii import find_pii, redact
-from loomgate.llm.quotas import cell_report, profiled_cells, quota_sample
+from loomgate.llm.quotas import UNIT, cell_report, profiled_cells, quota_sample, sample_report, start_of
 from loomgate.llm.stable_sample import permute_sql, stable_sample
 from loomgate.session import durable
 from loomgate.sources import table
@@ -79,9 +79,15 @@ def _cells(spark, sf_dir):
     return frame, cell_report(frame, table(spark, sf_dir, "sample_target"))
 
 
+def _drawn(spark, sf_dir):
+    frame, report = _cells(spark, sf_dir)
+    report = durable(report, "cells")
+    return sample_report(quota_sample(frame, report), report)
+
+
 def p5_found(spark, sf_dir):
-    """Targets whose cell has too few actions."""
-    return _cells(spark, sf_dir)[1].filter(~F.col("met")).select("target_id")
+    """Targets that the sampler can't meet: it takes their whole cell and that is still too few."""
+    return _drawn(spark, sf_dir).filter(~F.col("met")).select("target_id")
 
 
 def p5_report(spark, sf_dir):
@@ -89,6 +95,12 @@ def p5_report(spark, sf_dir):
     return _cells(spark, sf_dir)[1].select("target_id", "wanted", "available", "met")
 
 
+def p5_shares(spark, sf_dir):
+    """What the sample reached of each target: drawn actions, and their share beside the wished one."""
+    out = _drawn(spark, sf_dir)
+    return out.select("target_id", "wanted", "available", "drawn", F.round("wished_share", 9).alias("wished_share"), F.round("drawn_share", 9).alias("drawn_share"), "met")
+
+
 def p5_sample(spark, sf_dir):
     """The sample itself."""
     return quota_sample(*_cells(spark, sf_dir))
@@ -97,17 +109,31 @@ def p5_sample(spark, sf_dir):
 _P6 = ["tier", "input_length_tercile", "metric"]
 
 
-def _day_digests(spark, sf_dir):
-    """Digests of each day of measurements; re-delivered measurements count once."""
+def _readings(spark, sf_dir):
+    """One row a measurement and metric; re-delivered measurements count once."""
     rows = table(spark, sf_dir, "service_profile").select("measurement_id", "tier", plain(F.col("input_length_tercile")).alias("input_length_tercile"), F.to_date("measured_at").alias("day"), "wall_ms", "cuda_ms")
     once = rows.groupBy("measurement_id").agg(*[F.first(c).alias(c) for c in rows.columns[1:]])
-    both = once.select("tier", "input_length_tercile", "day", F.explode(F.create_map(F.lit("wall_ms"), F.col("wall_ms"), F.lit("cuda_ms"), F.col("cuda_ms"))).alias("metric", "value"))
-    return digest(both, [*_P6, "day"], "value")
+    return once.select("tier", "input_length_tercile", "day", F.explode(F.create_map(F.lit("wall_ms"), F.col("wall_ms"), F.lit("cuda_ms"), F.col("cuda_ms"))).alias("metric", "value"))
+
+
+def _day_digests(spark, sf_dir):
+    return digest(_readings(spark, sf_dir), [*_P6, "day"], "value")
 
 
 def p6_percentiles(spark, sf_dir):
     """Percentiles per tier and length tercile, merged from one digest a day."""
-    return quantiles(merge(_day_digests(spark, sf_dir), _P6), _P6, QUANTILES)
+    return quantiles(merge(_day_digests(spark, sf_dir), _P6), _P6, QUANTILES).withColumn("value", F.round("value", 6))
+
+
+def p6_running_percentiles(spark, sf_dir):
+    """The same over all readings up to and including each day."""
+    out = running_quantiles(_day_digests(spark, sf_dir), _P6, "day", QUANTILES)
+    return out.withColumn("day", F.col("day").cast("string")).withColumn("value", F.round("value", 6))
+
+
+def p6_rank_check(spark, sf_dir):
+    """Whether each merged percentile keeps its stated error, by true ranks over all readings."""
+    return rank_check(_readings(spark, sf_dir), durable(p6_percentiles(spark, sf_dir), "percentiles"), _P6, "value")
 
 
 def p6_day_digests(spark, sf_dir):
@@ -161,8 +187,8 @@ def p10_redacted(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_split_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_sample,
-        p6_percentiles, p6_day_digests, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report, p10_found, p10_redacted,
+        p1_found, p1_report, p1_split_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_shares, p5_sample,
+        p6_percentiles, p6_running_percentiles, p6_rank_check, p6_day_digests, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report, p10_found, p10_redacted,
     )
 }
 
@@ -199,7 +225,44 @@ c as (
   from sample_target t left join f on lower(trim(t.source)) = f.source and t.hard_required = f.hard_required and lower(trim(t.input_length_tercile)) = f.input_length_tercile)
 """
 
+_SAMPLE = _CELLS.rstrip() + f""",
+w as (
+  select t.target_id, lower(trim(t.source)) source, t.hard_required, lower(trim(t.input_length_tercile)) input_length_tercile, target_share, wanted, available,
+    least(coalesce(min_rows, 0), available) n_floor, round(least(wanted, available) * {UNIT})::hugeint total
+  from sample_target t join c using (target_id)),
+pl as (select *, coalesce(sum(available) over o, 0) first, coalesce(sum(total) over o, 0) base from w window o as (order by target_id rows between unbounded preceding and 1 preceding)),
+m as (
+  select pl.*, event_id, row_number() over (partition by target_id order by md5('quota|' || target_id || '|' || event_id), event_id) k
+  from pl join (select distinct event_id, source, hard_required, input_length_tercile from p join r using (event_id)) using (source, hard_required, input_length_tercile)),
+x as (select *, (base + (total * k) // available + {start_of('quota')}) // {UNIT} > (base + (total * (k - 1)) // available + {start_of('quota')}) // {UNIT} chosen from m),
+y as (select *, count(*) filter (chosen) over (partition by target_id) got, row_number() over (partition by target_id, chosen order by k) nth from x),
+sa as (select target_id, event_id from y where chosen or nth <= n_floor - got)"""
+
+# a group of fewer than K readings is never compressed, so an estimate is the cell of the reading of its rank
+_READ = f"""
+with o as (
+  select measurement_id, any_value(tier) tier, any_value(lower(trim(input_length_tercile))) input_length_tercile, any_value(measured_at)::date d,
+    any_value(wall_ms) w, any_value(cuda_ms) c
+  from service_profile group by measurement_id),
+v as (
+  select tier, input_length_tercile, d, m as metric, v from (select tier, input_length_tercile, d, 'wall_ms' m, w v from o union all select tier, input_length_tercile, d, 'cuda_ms', c from o)
+  where v is not null and isfinite(v)),
+q(q) as (values {', '.join(f'({q}::double)' for q in QUANTILES)})"""
+_CELL = f"greatest(1, least({HALF - 1}, floor(log2(greatest(abs(x), 1e-300)) * {PER_OCTAVE}) + {HALF // 2}))"
+_CELL_VALUE = f"case when x = 0 then 0.0::double else sign(x) * pow(2.0::double, ({_CELL} - {HALF // 2} + 0.5) / {PER_OCTAVE}) end"
+
 ORACLE = {
+    "p6_percentiles": f"""{_READ},
+g as (select tier, input_length_tercile, metric, list_sort(list(v)) vs, count(*) n from v group by 1, 2, 3),
+x as (select tier, input_length_tercile, metric, n, q, vs[greatest(1, ceil(q * n))::bigint] x from g, q)
+select tier, input_length_tercile, metric, n, q, round({_CELL_VALUE}, 6) as value, {LEVELS} * (n // {K}) + 1 max_rank_error from x""",
+    "p6_running_percentiles": f"""{_READ},
+dd as (select distinct tier, input_length_tercile, metric, d as day from v),
+g as (select dd.tier, dd.input_length_tercile, dd.metric, day, list_sort(list(v)) vs, count(*) n from dd join v
+  on v.tier = dd.tier and v.input_length_tercile is not distinct from dd.input_length_tercile and v.metric = dd.metric and v.d <= day group by 1, 2, 3, 4),
+x as (select tier, input_length_tercile, metric, day, n, q, vs[greatest(1, ceil(q * n))::bigint] x from g, q)
+select tier, input_length_tercile, metric, day::varchar as day, n, q, round({_CELL_VALUE}, 6) as value, {LEVELS} * (n // {K}) + 1 max_rank_error from x""",
+    "p6_rank_check": f"{_READ} select tier, input_length_tercile, metric, q, count(*) n, true kept from v, q group by 1, 2, 3, 4",
     "p1_found": _WORDS + "select distinct least(a, b) event_id_a, greatest(a, b) event_id_b from hit",
     "p1_report": _WORDS
     + """, s as (select distinct event_id, lower(trim(source)) source from event_manifest)
@@ -209,6 +272,11 @@ from r join s using (event_id) where split = 'evaluation' group by source""",
     "p2_sample_sessions": _sample_sql("replace(lower(trim(session_id)), '/', ':')", "session_id", 0.2),
     "p5_found": _CELLS + "select target_id from c where available < wanted",
     "p5_report": _CELLS + "select target_id, wanted, available, available >= wanted met from c",
+    "p5_sample": _SAMPLE + " select target_id, event_id from sa",
+    "p5_shares": _SAMPLE
+    + """, d as (select target_id, count(*) n from sa group by 1)
+select target_id, wanted, available, coalesce(n, 0) drawn, round(coalesce(target_share, 0), 9) wished_share, round(coalesce(n, 0) / (select count(*) from sa), 9) drawn_share, available >= wanted met
+from w left join d using (target_id)""",
     "p7_found": """
 with recursive r as (
   select distinct event_id, split, 's:' || replace(lower(trim(session_id)), '/', ':') s, 'i:' || lower(trim(instruction_sha256)) i from event_manifest),

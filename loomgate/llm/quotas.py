@@ -33,7 +33,7 @@ def profiled_cells(selection: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def cell_report(frame: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row a target: ``target_id``, its cell, ``wanted``, ``n_floor``, ``available``, ``met``.
+    """One row a target: ``target_id``, its cell, ``target_share``, ``wanted``, ``n_floor``, ``available``, ``met``.
 
     A target wants the larger of ``min_rows`` and ``target_share *
     sample_size`` members.  A cell nobody is in has 0 available; a target with
@@ -44,7 +44,12 @@ def cell_report(frame: DataFrame, targets: DataFrame) -> DataFrame:
     out = wished.join(have, CELL, "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
     wanted = F.greatest(F.coalesce(F.col("min_rows"), F.lit(0)).cast("double"), F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0)))
     out = out.withColumn("wanted", wanted).withColumn("n_floor", F.least(F.coalesce("min_rows", F.lit(0)), "available").cast("bigint"))
-    return out.select("target_id", *CELL, "wanted", "n_floor", "available", (F.col("available") >= F.col("wanted")).alias("met"))
+    return out.select("target_id", *CELL, "target_share", "wanted", "n_floor", "available", (F.col("available") >= F.col("wanted")).alias("met"))
+
+
+def start_of(seed: str) -> int:
+    """The random start, in units of 1 / UNIT."""
+    return int.from_bytes(hashlib.md5(seed.encode()).digest()[:4], "big") % UNIT
 
 
 def quota_sample(frame: DataFrame, report: DataFrame, seed: str = "quota") -> DataFrame:
@@ -62,7 +67,7 @@ def quota_sample(frame: DataFrame, report: DataFrame, seed: str = "quota") -> Da
     small = plan.select("target_id", *CELL, "n_floor", "available", "total", "first", "base")
     placed = frame.join(small.select("target_id", *CELL), CELL).select("target_id", F.md5(F.concat_ws("|", F.lit(seed), "target_id", "event_id")).alias("h"), "event_id")
     placed = global_position(placed, [F.col("target_id"), F.col("h"), F.col("event_id")])
-    u = int.from_bytes(hashlib.md5(seed.encode()).digest()[:4], "big") % UNIT
+    u = start_of(seed)
 
     def crossing(rank):
         share = F.floor(F.col("total").cast("decimal(20,0)") * rank.cast("decimal(18,0)") / F.col("available"))
@@ -76,3 +81,17 @@ def quota_sample(frame: DataFrame, report: DataFrame, seed: str = "quota") -> Da
     spare = ranked.filter(~F.col("chosen") & (F.col("rank") <= F.col("n_floor"))).join(got.select("target_id", "got"), "target_id")
     spare = spare.withColumn("k", F.row_number().over(Window.partitionBy("target_id").orderBy("rank"))).filter(F.col("k") <= F.col("n_floor") - F.col("got"))
     return first.unionByName(spare.select("target_id", "event_id"))
+
+
+def sample_report(sample: DataFrame, report: DataFrame) -> DataFrame:
+    """What ``sample`` reached of each target of ``report``: adds ``drawn``, ``wished_share``, ``drawn_share`` and ``met``.
+
+    A target is unmet when the sampler took every member of its cell and that
+    is fewer than wanted.  An empty sample has shares of 0.
+    """
+    got = sample.groupBy("target_id").agg(F.count(F.lit(1)).alias("drawn"))
+    out = report.drop("met").join(F.broadcast(got), "target_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))  # one row a target
+    total = F.sum("drawn").over(Window.partitionBy())
+    exhausted = (F.col("drawn") >= F.col("available")) & (F.col("available") < F.col("wanted"))
+    share = F.when(total > 0, F.col("drawn") / total).otherwise(0.0)
+    return out.select("*", F.coalesce("target_share", F.lit(0.0)).alias("wished_share"), share.alias("drawn_share"), (~exhausted).alias("met"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loomgate.llm.groups import action_groups, connected_components, group_splits, torn_groups
 from loomgate.llm.packing import pack, pack_histogram, token_counts
-from loomgate.llm.percentiles import digest, merge, quantiles
-from loomgate.llm.quotas import cell_report, profiled_cells, quota_sample
+from loomgate.llm.percentiles import digest, merge, quantiles, rank_check, running_quantiles
+from loomgate.llm.quotas import cell_report, profiled_cells, quota_sample, sample_report
 from loomgate.llm.stable_sample import MASK, permute, stable_sample
 
 
@@ -53,6 +53,9 @@ def test_quota_sample(spark):
     count = lambda k: sum(r["target_id"] == k for r in got)
     assert abs(count(1) - min(100, cells[1]["available"])) <= 1 and count(4) == 0 and count(5) >= 1
     assert abs(count(2) - min(30, cells[2]["available"])) <= 1 and count(2) >= min(30, cells[2]["available"]) and count(3) == min(5, cells[3]["available"])
+    reached = {r["target_id"]: r for r in sample_report(quota_sample(frame, report), report).collect()}
+    assert all(reached[k]["drawn"] == count(k) and reached[k]["met"] == cells[k]["met"] for k in reached) and len(reached) == 5
+    assert abs(sum(r["drawn_share"] for r in reached.values()) - 1) < 1e-9 and reached[1]["wished_share"] == 0.5
     assert quota_sample(frame.filter("event_id = 'none'"), cell_report(frame.filter("event_id = 'none'"), spark.createDataFrame(targets, "target_id int, source string, hard_required boolean, input_length_tercile string, target_share double, min_rows bigint, sample_size bigint"))).collect() == []
 
 
@@ -73,6 +76,28 @@ def test_percentiles_within_the_stated_error(spark, k):
     assert quantiles(digest(df.filter("day > 9"), ["g"], "v", k), ["g"], [0.5], k).collect() == []
 
 
+@pytest.mark.parametrize("k", [40, 1600])
+def test_running_percentiles_and_their_check(spark, k):
+    """Each day's result is that of all rows up to it; nulls in keys, days and values; ties."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 5]), rng.choice([rng.lognormvariate(2, 1), 3.0, None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, day int, v double")
+    got = running_quantiles(digest(df, ["g", "day"], "v", k), ["g"], "day", [0.1, 0.5, 0.99], k).collect()
+    assert len(got) == 3 * 4 * 3
+    for r in got:
+        values = sorted(v for g, d, v in rows if g == r["g"] and v is not None and (d is None or (r["day"] is not None and d <= r["day"])))
+        assert r["n"] == len(values)
+        slack = abs(r["value"]) * 0.004
+        low, high = sum(v < r["value"] - slack for v in values), sum(v <= r["value"] + slack for v in values)
+        assert low - r["max_rank_error"] <= math.ceil(r["q"] * r["n"]) <= high + r["max_rank_error"]
+    merged = quantiles(merge(digest(df, ["g", "day"], "v", k), ["g"], k), ["g"], [0.1, 0.5, 0.99], k)
+    checked = rank_check(df, merged, ["g"], "v").collect()
+    assert len(checked) == 9 and all(r["kept"] for r in checked)
+    wrong = rank_check(df, merged.withColumn("value", F.col("value") * 9), ["g"], "v").collect()
+    assert not any(r["kept"] for r in wrong)
+    assert running_quantiles(digest(df.filter("day > 9"), ["g", "day"], "v", k), ["g"], "day", [0.5], k).collect() == []
+
+
 def find(edges):
     up = {}
 
