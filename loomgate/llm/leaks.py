@@ -2,12 +2,15 @@
 
 The unit is a passage: a window of successive words of a held-out item.  With
 an error budget of e word edits a window is cut into e + 1 pieces; whatever
-matches it within the budget holds one of the pieces unchanged.  Documents are
-scanned for exact pieces (a rolling hash over word numbers, looked up in the
-sorted hashes of all pieces), and each hit is verified with Myers' bit-parallel
-edit distance over words.  Documents are independent: there is no shuffle.
-The held-out items are a stated query set; they are sent out in blocks of a
-fixed number of words.
+matches it within the budget holds one of the pieces unchanged.  Items shorter
+than a window are looked for whole and word for word.
+
+The hashes of all pieces are a table; a Bloom filter of them, whose size has a
+bound, goes to the scan of the corpus.  The scan cuts a document down to the
+stretches around its possible pieces, the pieces are joined by hash, and the
+pairs of a stretch and an item that share one are verified with Myers'
+bit-parallel edit distance over words.  Neither texts nor items pass through the
+driver, and one scan of the corpus serves any number of items.
 """
 
 from __future__ import annotations
@@ -17,12 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgate.operators.keyed import salted_join
+from loomgate.session import discard, durable
+
 WORD = re.compile(r"[^\W_]+")
-#: Words of held-out text that are sent out at once.
-BLOCK_WORDS = 2_000_000
+#: Bits of the Bloom filter for each piece, and at most. A fuller filter lets more pieces through to the join; the result is the same.
+BITS_A_PIECE = 32
+MOST_BITS = 1 << 29
+#: Words whose hashes a scan keeps.
+KEPT_WORDS = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,112 +76,184 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-class PieceIndex:
-    """Pieces of all windows of a block of items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], window: int, errors: int) -> None:
-        self.window, self.errors, self.piece = window, errors, window // (errors + 1)
-        self.numbers: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        hashes, where = [], []
-        for item, ws in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers)) for w in ws]
-            at = len(self.items)
-            self.items.append((item, ids))
-            if len(ids) >= window:
-                h = rolling(np.array(ids, dtype=np.int64), self.piece)
-                hashes.append(h)
-                where += [(at, o) for o in range(len(h))]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.hashes, self.where = flat[order], [where[i] for i in order]
-        self.masks: dict[tuple[int, int], dict[int, int]] = {}
-
-    def pattern(self, at: int, start: int) -> dict[int, int]:
-        got = self.masks.get((at, start))
-        if got is None:
-            got = {}
-            for i, w in enumerate(self.items[at][1][start : start + self.window]):
-                got[w] = got.get(w, 0) | 1 << i
-            self.masks[(at, start)] = got
+class _Hashes(dict):
+    """64-bit hash of each word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word.encode())
         return got
 
-    def windows(self, offset: int, length: int):
-        """(start of a window, place of the piece in it) of the windows that have their piece at ``offset``."""
-        for j in range(self.errors + 1):
-            start = offset - j * self.piece
-            if 0 <= start <= length - self.window:
-                yield start, j * self.piece
-
-    def scan(self, numbers: np.ndarray) -> dict[int, tuple[int, int]]:
-        """Item -> (least edits, first word of the document) of its best window in a document."""
-        h = rolling(numbers, self.piece)
-        if not len(h) or not len(self.hashes):
-            return {}
-        first = np.searchsorted(self.hashes, h)
-        first[first == len(self.hashes)] = 0
-        hits = np.nonzero(self.hashes[first] == h)[0]
-        found: dict[int, tuple[int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for p in hits.tolist():
-            i = int(first[p])
-            while i < len(self.where) and self.hashes[i] == h[p]:
-                at, offset = self.where[i]
-                i += 1
-                item, ids = self.items[at]
-                if found.get(item, (1, 0))[0] == 0:
-                    continue
-                for start, inside in self.windows(offset, len(ids)):
-                    if (at, start, p - inside) in tried:
-                        continue
-                    tried.add((at, start, p - inside))
-                    lo = max(0, p - inside - self.errors)
-                    region = numbers[lo : p - inside + self.window + self.errors].tolist()
-                    d = myers_best(self.pattern(at, start), self.window, region)
-                    if d <= self.errors and d < found.get(item, (self.errors + 1, 0))[0]:
-                        found[item] = (d, lo)
-        return found
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words)), dtype=np.uint64)
+
+
+def rolling(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k successive numbers; other k, other hashes."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        h = h * _BASE + ids[i : i + n]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _probe(h: np.ndarray) -> np.ndarray:
+    """The four bits that a hash has in its word of the filter."""
+    one = np.uint64(1)
+    bits = one << (h & np.uint64(63))
+    for s in (6, 12, 18):
+        bits |= one << ((h >> np.uint64(s)) & np.uint64(63))
+    return bits
+
+
+def _place(h: np.ndarray, words: int) -> np.ndarray:
+    return (h >> np.uint64(64 - words.bit_length() + 1)) if words > 1 else np.zeros(len(h), dtype=np.uint64)
+
+
+def bloom_filter(hashes: DataFrame, column: str = "h") -> np.ndarray:
+    """Words of a blocked Bloom filter of a column of 64-bit hashes; a power of two of them, at most MOST_BITS / 64."""
+    n = hashes.count()
+    words = 1 << min(max(n * BITS_A_PIECE // 64, 1).bit_length(), (MOST_BITS // 64).bit_length() - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = pdf[column].to_numpy().astype(np.uint64)
+            yield pd.DataFrame({"at": _place(h, words).astype(np.int64), "bits": _probe(h).astype(np.int64)})
+
+    rows = hashes.select(column).mapInPandas(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(words, dtype=np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint64)
+    return out
+
+
+def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bits = _probe(h)
+    return (words[_place(h, len(words))] & bits) == bits
+
+
+def stretches(hits: list[int], before: int, after: int, n: int) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of n words that hold every hit with ``before`` words before and ``after`` words from it on."""
+    out: list[list[int]] = []
+    for p in sorted(hits):
+        lo, hi = max(0, p - before), min(n, p + after)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(a, b) for a, b in out]
+
+
+def least_edits(item: list[str], words: list[str], window: int, errors: int) -> int:
+    """Least edits, up to errors + 1, of any window of the item against any stretch of ``words``; short items count whole."""
+    if len(item) < window:
+        m = len(item)
+        return 0 if any(words[i : i + m] == item for i in range(len(words) - m + 1)) else errors + 1
+    piece = window // (errors + 1)
+    places: dict[tuple, list[int]] = {}
+    for p in range(len(words) - piece + 1):
+        places.setdefault(tuple(words[p : p + piece]), []).append(p)
+    full = {tuple(words[p : p + window]) for p in range(len(words) - window + 1)}
+    starts = range(len(item) - window + 1)
+    if any(tuple(item[s : s + window]) in full for s in starts):
+        return 0
+    best, number = errors + 1, {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = [number[w] for w in words]
+    for s in starts:
+        if best == 1:
+            break
+        masks = None
+        for j in range(errors + 1):
+            o = s + j * piece
+            for p in places.get(tuple(item[o : o + piece]), ()):
+                lo = max(0, p - j * piece - errors)
+                if masks is None:
+                    masks = {}
+                    for i, w in enumerate(item[s : s + window]):
+                        if w in number:
+                            masks[number[w]] = masks.get(number[w], 0) | 1 << i
+                best = min(best, myers_best(masks, window, ids[lo : p - j * piece + window + errors]))
+    return best
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", window: int = 12, errors: int = 1) -> DataFrame:
-    """``<key>, <item_key>, edits``: items of which a window occurs in a document.
+    """``<key>, <item_key>, edits, n_words``: items of which a window occurs in a document.
 
     ``edits`` is the least number of word edits of any window of ``window``
     words of the item against any stretch of the document, at most ``errors``;
-    0 means that ``window`` or more successive words are the same.  Items of
-    fewer words than a window have no passage.  Null and empty texts hold
-    nothing; repeated keys are scanned each for itself and reported once with
-    their least edits.
+    0 means that ``window`` or more successive words are the same.  An item of
+    fewer words than a window is found where all its words stand in a row, with
+    0 edits; ``n_words`` is its number of words, else ``window``.  Null and
+    empty texts hold nothing, null and empty items are in nothing; repeated
+    keys are scanned each for itself and reported once with their least edits.
     """
-    if window > 62 or window // (errors + 1) < 1:
+    piece = window // (errors + 1)
+    if window > 62 or piece < 1:
         raise ValueError("a window has at most 62 words and at least one a piece")
     spark = documents.sparkSession
     kind, item_kind = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
-    corpus = documents.select(key, text).filter(F.length(text) > 0)
-    out, block, size = None, [], 0
-
-    def found_in(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = PieceIndex(shared.value, window, errors)
-            number = index.numbers.get
-            for pdf in batches:
-                rows = []
-                for doc, t in zip(pdf[key], pdf[text]):
-                    # words the items don't have get a number of no piece
-                    ids = np.array([number(w, -1) for w in WORD.findall(t.lower())], dtype=np.int64)
-                    rows += [(doc, item, d) for item, (d, _) in index.scan(ids).items()]
-                yield pd.DataFrame(rows, columns=[key, item_key, "edits"])
-
-        return corpus.mapInPandas(run, f"`{key}` {kind}, `{item_key}` {item_kind}, edits int")
-
-    for r in items.select(item_key, item_text).filter(F.col(item_text).isNotNull()).distinct().orderBy(item_key, item_text).toLocalIterator():
-        ws = WORD.findall(r[1].lower())
-        block.append((r[0], ws))
-        size += len(ws)
-        if size >= BLOCK_WORDS:
-            out, block, size = (found_in(block) if out is None else out.unionByName(found_in(block))), [], 0
-    if block or out is None:
-        out = found_in(block) if out is None else out.unionByName(found_in(block))
-    return out.groupBy(key, item_key).agg(F.min("edits").alias("edits"))
+
+    def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for pdf in batches:
+            out = []
+            for no, t in zip(pdf["no"], pdf["text"]):
+                ids = hashes.of(WORD.findall(t.lower()))
+                k = piece if len(ids) >= piece else len(ids)
+                h = rolling(ids, k)[: None if len(ids) >= window else 1] if k else ()
+                out += [(no, k, int(x)) for x in np.unique(np.asarray(h, dtype=np.uint64)).astype(np.int64)]
+            yield pd.DataFrame(out, columns=["no", "k", "h"])
+
+    # an item row is told by its number, so repeated keys stay apart
+    held = durable(items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).filter(F.length(item_text) > 0).distinct().withColumn("no", F.monotonically_increasing_id()), "items")
+    pieces = durable(held.select("no", "text").mapInPandas(pieces_of, "no bigint, k int, h bigint"), "pieces")
+    lengths = sorted(r[0] for r in pieces.select("k").distinct().collect())  # 1 .. piece
+    shared = spark.sparkContext.broadcast((bloom_filter(pieces), lengths))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filter_, ks = shared.value
+        hashes = _Hashes()
+        for pdf in batches:
+            out = []
+            for doc, t in zip(pdf["doc"], pdf["text"]):
+                words = WORD.findall(t.lower())
+                ids = hashes.of(words)
+                hits = []
+                for k in ks:
+                    h = rolling(ids, k)
+                    at = np.nonzero(in_filter(filter_, h))[0]
+                    hits += zip(at.tolist(), h[at].astype(np.int64).tolist())
+                if not hits:
+                    continue
+                cuts = stretches([p for p, _ in hits], window - piece + errors, window + errors, len(words))
+                firsts = np.array([a for a, _ in cuts])
+                groups: list[set[int]] = [set() for _ in cuts]
+                for p, h in hits:
+                    groups[int(np.searchsorted(firsts, p, side="right")) - 1].add(h)
+                out += [(doc, " ".join(words[a:b]), list(g)) for (a, b), g in zip(cuts, groups)]
+            yield pd.DataFrame(out, columns=["doc", "words", "hs"])
+
+    corpus = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    found = durable(corpus.mapInPandas(scan, f"doc {kind}, words string, hs array<bigint>").withColumn("run", F.monotonically_increasing_id()), "stretches")
+    probes = durable(found.select("run", F.explode("hs").alias("h")), "probes")
+    pairs = durable(salted_join(probes, pieces.select("h", "no"), ["h"]).select("run", "no").distinct(), "pairs")
+    discard(probes)
+    discard(pieces)
+    both = salted_join(pairs, found.select("run", "doc", "words"), ["run"])
+    both = salted_join(both, held, ["no"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, words, item, t in zip(pdf["doc"], pdf["words"], pdf["item"], pdf["text"]):
+                ws = WORD.findall(t.lower())
+                d = least_edits(ws, words.split(" "), window, errors)
+                if d <= errors:
+                    out.append((doc, item, d, min(len(ws), window)))
+            yield pd.DataFrame(out, columns=[key, item_key, "edits", "n_words"])
+
+    out = both.select("doc", "words", "item", "text").mapInPandas(verify, f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, n_words int")
+    return out.groupBy(key, item_key).agg(F.min("edits").alias("edits"), F.max("n_words").alias("n_words"))

@@ -162,7 +162,7 @@ def _leaks(spark, sf_dir):
 
 def p9_found(spark, sf_dir):
     """Documents with 12 or more successive words of a held-out item."""
-    return _leaks(spark, sf_dir).filter("edits = 0").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).filter("edits = 0 and n_words = 12").select("doc_id", "item_id")
 
 
 def p9_report(spark, sf_dir):
@@ -297,4 +297,27 @@ dw as (select doc_id, array_to_string(d[i:i + 11], ' ') x from (select doc_id, d
 v as (select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') d from holdout_item where item_text is not null),
 iw as (select item_id, array_to_string(d[i:i + 11], ' ') x from (select item_id, d, unnest(range(1, len(d) - 10)) i from v where len(d) >= 12))
 select distinct doc_id, item_id from dw join iw using (x)""",
+    "p9_report": """
+with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') d from documents where text is not null),
+v as (select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') d from holdout_item where item_text is not null),
+iw as (select item_id, d[i:i + 11] x from (select item_id, d, unnest(range(1, len(d) - 10)) i from v where len(d) >= 12)),
+cut as (select item_id, x, unnest(range(1, 13)) j from iw),
+-- a window with one word lost, replaced, or (below) with one word more
+lost as (select distinct item_id, hash(x[1:j - 1] || x[j + 1:12]) h from cut),
+swapped as (select distinct item_id, hash([j::varchar] || x[1:j - 1] || x[j + 1:12]) h from cut),
+whole as (select distinct item_id, hash(x) h from iw),
+short as (select item_id, hash(d) h, len(d) m from v where len(d) between 1 and 11),
+dd as (select doc_id, d, len(d) n, unnest(range(1, len(d) + 1)) i from w),
+d11 as (select distinct doc_id, hash(d[i:i + 10]) h from dd where i + 10 <= n),
+d12 as (select doc_id, d[i:i + 11] x from dd where i + 11 <= n),
+d13 as (select doc_id, d[i:i + 12] x from dd where i + 12 <= n),
+exact as (
+  select distinct doc_id, item_id from (select distinct doc_id, hash(x) h from d12) join whole using (h)
+  union select distinct doc_id, item_id from short s, dd where s.h = hash(dd.d[dd.i:dd.i + s.m - 1]) and dd.i + s.m - 1 <= dd.n),
+near as (
+  select doc_id, item_id from d11 join lost using (h)
+  union select doc_id, item_id from (select doc_id, hash([j::varchar] || x[1:j - 1] || x[j + 1:12]) h from (select doc_id, x, unnest(range(1, 13)) j from d12)) join swapped using (h)
+  union select doc_id, item_id from (select doc_id, hash(x[1:j - 1] || x[j + 1:13]) h from (select doc_id, x, unnest(range(2, 13)) j from d13)) join whole using (h)),
+a as (select doc_id, item_id, max(e) e from (select doc_id, item_id, 1 e from exact union all select doc_id, item_id, 0 from near) group by 1, 2)
+select item_id, count(*) filter (e = 1) n_exact, count(*) filter (e = 0) n_near from a group by 1""",
 }

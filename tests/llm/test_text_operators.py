@@ -4,7 +4,7 @@ import json
 import random
 
 from loomgate.llm.collapse import Trie, canonical, layout_copies, radix_bounds
-from loomgate.llm.leaks import PieceIndex, leaked_items, myers_best
+from loomgate.llm.leaks import bloom_filter, in_filter, leaked_items, least_edits, myers_best, stretches
 from loomgate.llm.pii import find_pii, keyword_automaton, redact, scan
 
 RECORD = "event_id string, rendered_prompt string, tool_arguments string, gid string, canon string"
@@ -95,7 +95,7 @@ def test_myers_is_edit_distance():
 def test_leaks_are_all_found(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(60)}"
-    items = [(i, [word() for _ in range(rng.choice([5, 12, 30]))]) for i in range(12)]
+    items = [(i, [word() for _ in range(rng.choice([2, 5, 12, 30]))]) for i in range(12)]
     docs = []
     for d in range(80):
         ws = [word() for _ in range(rng.randrange(60))]
@@ -112,16 +112,45 @@ def test_leaks_are_all_found(spark):
     for d, t in docs[:-3]:
         ws = [w.strip(",").lower() for w in t.split()]
         for i, item in items:
-            best = min((edit(item[s : s + 12], ws) for s in range(len(item) - 11)), default=99)
+            whole = any(ws[s : s + len(item)] == item for s in range(len(ws)))
+            best = min((edit(item[s : s + 12], ws) for s in range(len(item) - 11)), default=0 if whole else 99)
             if best <= 1:
                 want[(d, i)] = best
     assert got == want and 0 in want.values() and 1 in want.values()
 
 
-def test_index_of_no_items():
+def test_least_edits_is_the_best_window():
+    rng = random.Random(12)
+    for _ in range(400):
+        item, words = ([str(rng.randrange(4)) for _ in range(n)] for n in (rng.choice([12, 14, 20]), rng.randrange(40)))
+        want = min(2, min(edit(item[s : s + 12], words) for s in range(len(item) - 11)))
+        assert least_edits(item, words, 12, 1) == want
+    assert least_edits(["a", "b"], ["x", "a", "b"], 12, 1) == 0 and least_edits(["a", "b"], ["a", "x", "b"], 12, 1) == 2
+
+
+def test_short_items_and_shared_pieces(spark):
+    """Items of fewer words than a window are found whole; a passage that many items and documents share is found in all."""
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    items = [(i, f"{same} tail{i}") for i in range(30)] + [(40, "Short one!"), (41, "a b c d e f g h"), (42, "w"), (42, "also w")]
+    docs = [(i, f"start{i} {same}. end") for i in range(30)] + [(50, "a SHORT, one."), (51, "short a one"), (52, "x a b c d e f g h"), (53, "a b c d e f g x h"), (54, "w")]
+    schema = "item_id bigint, item_text string", "doc_id bigint, text string"
+    got = {tuple(r) for r in leaked_items(spark.createDataFrame(docs, schema[1]), spark.createDataFrame(items, schema[0])).collect()}
+    assert {r for r in got if r[0] < 30} == {(d, i, 0, 12) for d in range(30) for i in range(30)}
+    assert {r for r in got if r[0] >= 30} == {(50, 40, 0, 2), (52, 41, 0, 8), (54, 42, 0, 1)}
+    none = spark.createDataFrame([], schema[0])
+    assert leaked_items(spark.createDataFrame(docs, schema[1]), none).collect() == []
+    assert leaked_items(spark.createDataFrame([], schema[1]), spark.createDataFrame(items, schema[0])).collect() == []
+
+
+def test_filter_has_no_false_negatives(spark):
     import numpy as np
 
-    assert PieceIndex([], 12, 1).scan(np.arange(50)) == {}
+    h = [hash(str(i)) for i in range(5000)]
+    words = bloom_filter(spark.createDataFrame([(x,) for x in h], "h bigint"))
+    assert in_filter(words, np.array(h, dtype=np.int64).astype(np.uint64)).all()
+    other = np.random.default_rng(1).integers(0, 1 << 63, 20000, dtype=np.int64).astype(np.uint64)
+    assert in_filter(words, other).mean() < 0.01
+    assert stretches([5, 7, 40], 3, 6, 44) == [(2, 13), (37, 44)]
 
 
 ROSTER = [("Amina", "Okonwe"), ("Ivo", "O'Tarrin"), ("Edda", "Ferrante-Lyle")]
