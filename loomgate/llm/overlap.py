@@ -5,13 +5,15 @@ the longer one that lack a counterpart are at most one in ``1 / difference``.
 Exact copies are folded into classes first.  The words of a class are ordered
 from rare to common; only a short prefix can be free of shared words, so the
 evaluation prefixes are indexed and probed with the training prefixes (equal
-prefix word, length filter, position filter, a 128-bit bound on the overlap).
+prefix word and length band, then length filter, position filter and a 128-bit
+bound on the overlap); a word that many records share is dealt over tasks.
 What is left is verified exactly.  Links are between classes; copies are
 members of classes and are not expanded inside the join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgate.functions.text import words
-from loomgate.operators.keyed import lookup_join
+from loomgate.operators.keyed import lookup_join, salted_join
 from loomgate.session import durable
 
 #: Buckets of the word-frequency table: 65,536 counts, whatever the vocabulary.
 FREQ_BITS = 16
+#: A prefix word of one length band with more training rows than this is dealt over several tasks.
+HOT_WORD_ROWS = 20_000
 
 
 def word_classes(df: DataFrame, key: str, text: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -96,14 +100,17 @@ def split_overlaps(members: DataFrame, classes: DataFrame, difference: tuple[int
     freq = spark.sparkContext.broadcast(_frequencies(sided))
     schema = "e bigint, class binary, n int, i int, s0 bigint, s1 bigint, in_eval boolean, in_train boolean"
     prefixes = durable(sided.select("class", "words", "in_eval", "in_train").mapInPandas(_prefixes(freq, num, den), schema), "prefixes")
-    x = prefixes.filter("in_eval").select("e", *[F.col(c).alias("x_" + c) for c in ("class", "n", "i", "s0", "s1")])
-    y = prefixes.filter("in_train").select("e", *[F.col(c).alias("y_" + c) for c in ("class", "n", "i", "s0", "s1")])
+    # lengths that differ by more than the allowed share lie in other bands; a probe looks into the two or three it can match
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(den / num) + 1e-9).cast("int")
+    y = prefixes.filter("in_train").select("e", band(F.col("n")).alias("band"), *[F.col(c).alias("y_" + c) for c in ("class", "n", "i", "s0", "s1")])
+    own = F.explode(F.sequence(band(F.ceil(F.col("n") * num / den)), band(F.floor(F.col("n") * den / num)))).alias("band")
+    x = prefixes.filter("in_eval").select("e", own, *[F.col(c).alias("x_" + c) for c in ("class", "n", "i", "s0", "s1")])
     longer = F.greatest("x_n", "y_n")
     need = F.ceil(longer * num / den)
     at_position = F.least("x_i", "y_i") + F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
     differ = F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))) + F.bit_count(F.col("x_s1").bitwiseXOR(F.col("y_s1")))
     candidates = (
-        x.join(y, "e")
+        salted_join(y, x, ["e", "band"], rows=HOT_WORD_ROWS)
         .filter((F.col("x_class") != F.col("y_class")) & (F.least("x_n", "y_n") >= need) & (at_position >= need))
         .filter(F.col("x_n") + F.col("y_n") - differ >= 2 * need)
         .select("x_class", "y_class")
@@ -139,9 +146,22 @@ def split_members(manifest: DataFrame, records: DataFrame, train: str = "calibra
     return durable(keyed.join(split, "event_id"), "members"), classes
 
 
+def linked_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``event_id, in_eval, class, n_links``: each action with its class and the number of classes of the other split it overlaps with.
+
+    The result whose size does not depend on the copies: pairs are the links of
+    a class times its members.
+    """
+    kept = durable(links.select("eval_class", "train_class"), "links")
+    by_eval = kept.groupBy(F.col("eval_class").alias("class")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(True).alias("in_eval"), "class", "n")
+    by_train = kept.groupBy(F.col("train_class").alias("class")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(False).alias("in_eval"), "class", "n")
+    out = salted_join(members.select("event_id", "in_eval", "class"), by_eval.unionByName(by_train), ["in_eval", "class"], "left")
+    return out.select("event_id", "in_eval", F.lower(F.hex("class")).alias("class"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_links"))
+
+
 def overlap_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Links expanded to pairs of actions, the smaller id first."""
+    """Links expanded to pairs of actions, the smaller id first; a class with many members is dealt over tasks."""
     by_eval = members.filter("in_eval").select(F.col("class").alias("eval_class"), F.col("event_id").alias("a"))
     by_train = members.filter("in_train").select(F.col("class").alias("train_class"), F.col("event_id").alias("b"))
-    pairs = links.select("eval_class", "train_class").join(by_eval, "eval_class").join(by_train, "train_class")
+    pairs = salted_join(by_train, salted_join(by_eval, links.select("eval_class", "train_class"), ["eval_class"]), ["train_class"])
     return pairs.select(F.least("a", "b").alias("event_id_a"), F.greatest("a", "b").alias("event_id_b")).distinct()

@@ -2,18 +2,17 @@
 
 Lengths are whole numbers up to the capacity, so the packing problem is the
 histogram of lengths: at most one count a length, whatever the corpus.  The
-driver fills container patterns from the histogram (largest length that still
-fits, for each permitted size; the size with the least cost per token is
-opened, as often as the counts allow) and shrinks each container to the
-smallest permitted size that holds its contents.  Items then find their place
-by their position among the items of equal length, which needs no window.
-Only texts longer than a container are split.
+driver packs that histogram by best fit with several capacities (see
+``pack_histogram``) and shrinks each container to the smallest permitted size
+that holds its contents.  Items then find their place by their position among
+the items of equal length, which needs no window.  Only texts longer than a
+container are split.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,46 +47,79 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     return durable(df.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens bigint"), "tokens")
 
 
-def pack_histogram(counts: dict[int, int], sizes: tuple[int, ...], overhead: float = 64.0) -> list[tuple[int, int, dict[int, int]]]:
+def container_cost(size: int, overhead: float = 64.0, attention: float = 0.0) -> float:
+    """Cost of a container in tokens: its size, a fixed part, and size ** 2 / ``attention`` for what grows with the square (0: nothing)."""
+    return size + overhead + (size * size / attention if attention else 0.0)
+
+
+def _filled(size: int, longest: int, lengths: list[int], left: dict[int, int]) -> int:
+    """Tokens that a new container of ``size`` would hold: the longest item, then always the largest that fits."""
+    room, i = size - longest, bisect_left(lengths, longest)
+    used = {longest: 1}
+    i = min(i, len(lengths) - 1)
+    while room and i >= 0:
+        n = lengths[i]
+        k = min(room // n, left[n] - used.get(n, 0))
+        room -= k * n
+        i = min(i, bisect_left(lengths, room + 1)) - 1
+    return size - room
+
+
+def pack_histogram(counts: dict[int, int], sizes: tuple[int, ...], overhead: float = 64.0, attention: float = 0.0) -> list[tuple[int, int, dict[int, int]]]:
     """Patterns (size, how many containers, {length: items in each}) that hold all items exactly once.
 
-    ``overhead`` is the cost of a container besides its size, in tokens: a small
-    container must save more than that.  Among patterns of
-    equal cost per token the larger size is opened.
+    Best fit with several capacities, on counts: lengths from the longest down,
+    each to the open containers with the least room that holds it.  Where none
+    does, the permitted size is opened whose cost for each token it is going to
+    hold is least, judged by filling it from all items that are left; of equal
+    costs the larger.  In the end each container shrinks to the smallest
+    permitted size that holds its contents.  Containers with equal contents are
+    one pattern, so the work depends on the lengths, not on the items.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     if any(n < 1 or n > max(sizes) for n in left):
         raise ValueError("lengths must lie between 1 and the largest size")
     lengths = sorted(left)
-    out = []
+    rooms: list[int] = []  # sorted rooms of the open containers
+    open_: dict[int, list[tuple[int, int, dict[int, int]]]] = {}  # room -> (size, containers, contents)
+
+    def put(room: int, size: int, times: int, uses: dict[int, int]) -> None:
+        if times:
+            if room not in open_:
+                insort(rooms, room)
+                open_[room] = []
+            open_[room].append((size, times, uses))
+
     while lengths:
-        longest, best = lengths[-1], None
-        for size in sorted(sizes, reverse=True):
-            if size < longest:
-                break
-            room, uses, i = size, {}, len(lengths) - 1
-            while room and i >= 0:
-                n = lengths[i]
-                k = min(room // n, left[n])
-                if k:
-                    uses[n] = k
-                    room -= k * n
-                i = min(i, bisect_left(lengths, room + 1)) - 1
-            cost = (size + overhead) / (size - room)
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, size - room, uses)
-        _, used, uses = best
-        times = min(left[n] // k for n, k in uses.items())
-        out.append((min(s for s in sizes if s >= used), times, uses))
-        for n, k in uses.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-                lengths.pop(bisect_left(lengths, n))
+        n = lengths[-1]
+        while left[n]:
+            i = bisect_left(rooms, n)
+            if i < len(rooms):
+                room = rooms[i]
+                size, times, uses = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+                    rooms.pop(i)
+                k = min(room // n, left[n])  # the fullest container that holds one goes on being the fullest
+                t = min(times, max(1, left[n] // k))
+                put(room, size, times - t, uses)
+                put(room - k * n, size, t, {**uses, n: uses.get(n, 0) + k})
+            else:
+                size = min(sorted((s for s in sizes if s >= n), reverse=True), key=lambda s: round(container_cost(s, overhead, attention) / _filled(s, n, lengths, left), 12))
+                k = min(size // n, left[n])
+                t = left[n] // k
+                put(size - k * n, size, t, {n: k})
+            left[n] -= k * t
+        lengths.pop()
+        del left[n]
+    out = []
+    for room in rooms:
+        for size, times, uses in open_[room]:
+            out.append((min(s for s in sizes if s >= size - room), times, uses))
     return out
 
 
-def pack(tokens: DataFrame, key: str = "doc_id", sizes: tuple[int, ...] = (256, 512, 1024, 2048)) -> DataFrame:
+def pack(tokens: DataFrame, key: str = "doc_id", sizes: tuple[int, ...] = (256, 512, 1024, 2048), overhead: float = 64.0, attention: float = 0.0) -> DataFrame:
     """``container_id, container_size, <key>, piece_no, start_token, n_tokens`` of every item.
 
     A text of more than ``max(sizes)`` tokens is cut into full containers and a
@@ -99,7 +131,7 @@ def pack(tokens: DataFrame, key: str = "doc_id", sizes: tuple[int, ...] = (256,
     items = tokens.select(key, F.explode(pieces).alias("piece_no"), "n_tokens")
     items = items.select(key, "piece_no", (F.col("piece_no") * cap).alias("start_token"), F.least(F.lit(cap).cast("bigint"), F.col("n_tokens") - F.col("piece_no") * cap).alias("n_tokens"))
     counts = {r[0]: r[1] for r in items.filter("n_tokens > 0").groupBy("n_tokens").count().collect()}  # at most cap rows
-    patterns = pack_histogram(counts, sizes)
+    patterns = pack_histogram(counts, sizes, overhead, attention)
     firsts, before = {}, 0
     for n in sorted(counts):
         firsts[n], before = before, before + counts[n]
@@ -139,3 +171,31 @@ def _slots(patterns: list[tuple[int, int, dict[int, int]]]) -> dict[int, tuple[n
             taken[n] = taken.get(n, 0) + k * times
         container += times
     return {n: tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) for n, rows in made.items()}
+
+
+def packing_check(packed: DataFrame, tokens: DataFrame, key: str = "doc_id", cap: int = 2048) -> DataFrame:
+    """One row of counts that say whether a packing is whole.
+
+    ``n_documents``; ``n_lost`` and ``n_doubled``, documents with fewer or more
+    packed tokens than they have or with pieces that do not meet end to end;
+    ``n_split``, documents in pieces though they would fit; ``n_over``,
+    containers that hold more than their size; ``well_filled``, whether all
+    containers together are filled to 98 % or there are fewer than 50 of them.
+    """
+    pieces = packed.groupBy(key).agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("reach"))
+    whole = tokens.groupBy(key).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows"))  # keys should be unique
+    both = whole.join(pieces, key, "left")
+    docs = both.agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("got").isNull() | (F.col("got") < F.col("n")) | ((F.col("rows") == 1) & (F.col("reach") < F.col("n")))).alias("n_lost"),
+        F.count_if(F.col("got") > F.col("n")).alias("n_doubled"), F.count_if((F.col("rows") == 1) & (F.col("n") <= cap) & (F.col("pieces") > 1)).alias("n_split"),
+    )
+    filled = packed.filter(F.col("container_id").isNotNull()).groupBy("container_id", "container_size").agg(F.sum("n_tokens").alias("load"))
+    bins = filled.agg(F.count_if(F.col("load") > F.col("container_size")).alias("n_over"), F.coalesce((F.sum("load") >= F.sum("container_size") * 0.98) | (F.count(F.lit(1)) < 50), F.lit(True)).alias("well_filled"))
+    return docs.crossJoin(bins)  # one row each
+
+
+def size_report(packed: DataFrame) -> DataFrame:
+    """``container_size, n_containers, n_tokens, unused_share`` of each size in use."""
+    filled = packed.filter(F.col("container_id").isNotNull()).groupBy("container_id", "container_size").agg(F.sum("n_tokens").alias("load"))
+    out = filled.groupBy("container_size").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("load").alias("n_tokens"))
+    return out.withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("container_size")))

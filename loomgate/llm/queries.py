@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from loomgate.functions.text import plain, session_key
 from loomgate.llm.collapse import layout_copies
-from loomgate.llm.groups import action_groups, group_splits, torn_groups
+from loomgate.llm.groups import action_groups, group_splits, split_shares, torn_groups
 from loomgate.llm.leaks import leaked_items
-from loomgate.llm.overlap import overlap_pairs, split_members, split_overlaps
-from loomgate.llm.packing import pack, token_counts
+from loomgate.llm.overlap import linked_members, overlap_pairs, split_members, split_overlaps
+from loomgate.llm.packing import pack, packing_check, size_report, token_counts
 from loomgate.llm.percentiles import HALF, LEVELS, PER_OCTAVE, K, digest, merge, quantiles, rank_check, running_quantiles
 from loomgate.llm.pii import find_pii, redact
 from loomgate.llm.quotas import UNIT, cell_report, profiled_cells, quota_sample, sample_report, start_of
@@ -30,26 +30,18 @@ def p1_found(spark, sf_dir):
     return overlap_pairs(*_overlaps(spark, sf_dir))
 
 
-def p1_report(spark, sf_dir):
-    """Per source: actions of the evaluation split, and how many overlap with calibration; ``p1_split_report`` has both splits."""
-    members, links = _overlaps(spark, sf_dir)
-    source = table(spark, sf_dir, "event_manifest").select("event_id", plain(F.col("source")).alias("source")).distinct()
-    hit = links.select(F.col("eval_class").alias("class")).distinct().withColumn("hit", F.lit(1))
-    rows = members.filter("in_eval").join(hit, "class", "left").join(source, "event_id")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_evaluation"), F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("n_overlapping"))
+def p1_members(spark, sf_dir):
+    """Every action of either split with its class of equal records and the number of classes it overlaps with."""
+    rows = linked_members(*_overlaps(spark, sf_dir))
+    return rows.select("event_id", F.when(F.col("in_eval"), "evaluation").otherwise("calibration").alias("split"), "class", "n_links")
 
 
-def p1_split_report(spark, sf_dir):
+def p1_report(spark, sf_dir):
     """Per split and source: actions, and how many overlap with the other split."""
-    members, links = _overlaps(spark, sf_dir)
+    rows = linked_members(*_overlaps(spark, sf_dir))
     source = table(spark, sf_dir, "event_manifest").select("event_id", plain(F.col("source")).alias("source")).distinct()
-    links = durable(links.select("eval_class", "train_class"), "links")
-    by_eval = links.select(F.lit(True).alias("in_eval"), F.col("eval_class").alias("class"))
-    by_train = links.select(F.lit(False).alias("in_eval"), F.col("train_class").alias("class"))
-    hit = by_eval.unionByName(by_train).distinct().withColumn("hit", F.lit(1))
-    rows = members.join(hit, ["in_eval", "class"], "left").join(source, "event_id")
     split = F.when(F.col("in_eval"), "evaluation").otherwise("calibration").alias("split")
-    return rows.groupBy(split, "source").agg(F.count(F.lit(1)).alias("n_actions"), F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("n_overlapping"))
+    return rows.join(source, "event_id").groupBy(split, "source").agg(F.count(F.lit(1)).alias("n_actions"), F.count_if(F.col("n_links") > 0).alias("n_overlapping"))
 
 
 def p2_sample_events(spark, sf_dir):
@@ -151,11 +143,28 @@ def p7_assigned_splits(spark, sf_dir):
     return group_splits(action_groups(table(spark, sf_dir, "event_manifest")))
 
 
+def p7_split_shares(spark, sf_dir):
+    """How near the new splits come to their wished shares."""
+    groups = action_groups(table(spark, sf_dir, "event_manifest"))
+    return split_shares(group_splits(groups), groups).withColumn("share", F.round("share", 9))
+
+
 def p8_containers(spark, sf_dir):
     """Documents packed into containers of at most 2,048 tokens."""
     return pack(token_counts(table(spark, sf_dir, "documents")))
 
 
+def p8_check(spark, sf_dir):
+    """Whether every document is packed once, whole and into room that holds it."""
+    tokens = token_counts(table(spark, sf_dir, "documents"))
+    return packing_check(durable(pack(tokens), "packed"), tokens)
+
+
+def p8_sizes(spark, sf_dir):
+    """Containers and unused space of each size, where attention makes long containers dearer."""
+    return size_report(pack(token_counts(table(spark, sf_dir, "documents")), attention=16_384.0))
+
+
 def _leaks(spark, sf_dir):
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "holdout_item"))
 
@@ -187,8 +196,8 @@ def p10_redacted(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_split_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_shares, p5_sample,
-        p6_percentiles, p6_running_percentiles, p6_rank_check, p6_day_digests, p7_found, p7_assigned_splits, p8_containers, p9_found, p9_report, p10_found, p10_redacted,
+        p1_found, p1_members, p1_report, p2_sample_events, p2_sample_sessions, p3_found, p3_copy_counts, p5_found, p5_report, p5_shares, p5_sample,
+        p6_percentiles, p6_running_percentiles, p6_rank_check, p6_day_digests, p7_found, p7_assigned_splits, p7_split_shares, p8_containers, p8_check, p8_sizes, p9_found, p9_report, p10_found, p10_redacted,
     )
 }
 
@@ -225,6 +234,19 @@ c as (
   from sample_target t left join f on lower(trim(t.source)) = f.source and t.hard_required = f.hard_required and lower(trim(t.input_length_tercile)) = f.input_length_tercile)
 """
 
+_GROUPS = """
+with recursive r as (
+  select distinct event_id, split, 's:' || replace(lower(trim(session_id)), '/', ':') s, 'i:' || lower(trim(instruction_sha256)) i from event_manifest),
+e as (select distinct s a, i b from r where s is not null and i is not null),
+l as (select a, b from e union select b, a from e),
+c(node, root) as (
+  select distinct n, n from (select s n from r union select i from r) where n is not null
+  union
+  select l.b, c.root from c join l on l.a = c.node),
+g as (select node, min(root) comp from c group by node),
+x as (select event_id, split, coalesce(comp, 'e:' || event_id) comp from r left join g on g.node = coalesce(r.s, r.i))"""
+_ASSIGNED = _GROUPS + """, u as (select distinct event_id, comp, ('0x' || substr(md5('split|' || comp), 1, 13))::bigint / 4503599627370496.0 u from x),
+asg as (select event_id, comp, case when u < 0.8 then 'train' when u < 0.9 then 'validation' else 'test' end assigned_split from u)"""
 _SAMPLE = _CELLS.rstrip() + f""",
 w as (
   select t.target_id, lower(trim(t.source)) source, t.hard_required, lower(trim(t.input_length_tercile)) input_length_tercile, target_share, wanted, available,
@@ -264,10 +286,14 @@ x as (select tier, input_length_tercile, metric, day, n, q, vs[greatest(1, ceil(
 select tier, input_length_tercile, metric, day::varchar as day, n, q, round({_CELL_VALUE}, 6) as value, {LEVELS} * (n // {K}) + 1 max_rank_error from x""",
     "p6_rank_check": f"{_READ} select tier, input_length_tercile, metric, q, count(*) n, true kept from v, q group by 1, 2, 3, 4",
     "p1_found": _WORDS + "select distinct least(a, b) event_id_a, greatest(a, b) event_id_b from hit",
+    "p1_members": _WORDS
+    + """, k as (select event_id, split, md5(array_to_string(list_sort(ws), ' ')) "class" from r where split in ('evaluation', 'calibration')),
+p as (select a, b from hit union all select b, a from hit)
+select k.event_id, k.split, k."class", count(distinct o."class") n_links from k left join p on p.a = k.event_id left join k o on o.event_id = p.b group by 1, 2, 3""",
     "p1_report": _WORDS
     + """, s as (select distinct event_id, lower(trim(source)) source from event_manifest)
-select source, count(*) n_evaluation, count(*) filter (event_id in (select a from hit)) n_overlapping
-from r join s using (event_id) where split = 'evaluation' group by source""",
+select split, source, count(*) n_actions, count(*) filter (event_id in (select a from hit union select b from hit)) n_overlapping
+from r join s using (event_id) where split in ('evaluation', 'calibration') group by 1, 2""",
     "p2_sample_events": _sample_sql("event_id", "event_id", 0.1),
     "p2_sample_sessions": _sample_sql("replace(lower(trim(session_id)), '/', ':')", "session_id", 0.2),
     "p5_found": _CELLS + "select target_id from c where available < wanted",
@@ -277,19 +303,17 @@ from r join s using (event_id) where split = 'evaluation' group by source""",
     + """, d as (select target_id, count(*) n from sa group by 1)
 select target_id, wanted, available, coalesce(n, 0) drawn, round(coalesce(target_share, 0), 9) wished_share, round(coalesce(n, 0) / (select count(*) from sa), 9) drawn_share, available >= wanted met
 from w left join d using (target_id)""",
-    "p7_found": """
-with recursive r as (
-  select distinct event_id, split, 's:' || replace(lower(trim(session_id)), '/', ':') s, 'i:' || lower(trim(instruction_sha256)) i from event_manifest),
-e as (select distinct s a, i b from r where s is not null and i is not null),
-l as (select a, b from e union select b, a from e),
-c(node, root) as (
-  select distinct n, n from (select s n from r union select i from r) where n is not null
-  union
-  select l.b, c.root from c join l on l.a = c.node),
-g as (select node, min(root) comp from c group by node),
-x as (select event_id, split, comp from r join g on g.node = coalesce(r.s, r.i)),
-t as (select comp, min(event_id) k from x group by comp having count(distinct split) > 1)
+    "p7_found": _GROUPS
+    + """, t as (select comp, min(event_id) k from x group by comp having count(distinct split) > 1)
 select distinct k group_event_id, event_id from x join t using (comp)""",
+    "p7_assigned_splits": _ASSIGNED + " select event_id, assigned_split from asg",
+    "p7_split_shares": _ASSIGNED
+    + """, n as (select assigned_split, comp, count(*) n from asg group by 1, 2),
+g2 as (select assigned_split, sum(n)::bigint n_events, count(*) n_groups, max(n) largest_group from n group by 1)
+select w.assigned_split, wished_share, coalesce(n_events, 0) n_events, round(coalesce(n_events, 0) / (select count(*) from asg), 9) share, coalesce(n_groups, 0) n_groups, coalesce(largest_group, 0) largest_group
+from (values ('train', 0.8::double), ('validation', 0.1::double), ('test', 0.1::double)) w(assigned_split, wished_share) left join g2 using (assigned_split)""",
+    # SQL has no tokenizer; it says what must hold whatever the lengths are
+    "p8_check": "select count(distinct doc_id) n_documents, 0::bigint n_lost, 0::bigint n_doubled, 0::bigint n_split, 0::bigint n_over, true well_filled from documents",
     "p9_found": """
 with w as (
   select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') d from documents where text is not null),

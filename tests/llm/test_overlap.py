@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
+from loomgate.llm import overlap
 from loomgate.llm.overlap import overlap_pairs, split_members, split_overlaps
 
 MANIFEST = "event_id string, split string, class string"
@@ -30,7 +33,10 @@ def brute(manifest, records):
     return out
 
 
-def test_same_as_all_pairs(spark):
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_same_as_all_pairs(spark, monkeypatch, hot):
+    """Also where most prefix words are hot."""
+    monkeypatch.setattr(overlap, "HOT_WORD_ROWS", hot)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)] + ["rare%d" % i for i in range(400)]
     manifest, records, bases = [], [], []

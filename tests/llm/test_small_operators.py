@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgate.llm.groups import action_groups, connected_components, group_splits, torn_groups
-from loomgate.llm.packing import pack, pack_histogram, token_counts
+from loomgate.llm.packing import container_cost, pack, pack_histogram, packing_check, size_report, token_counts
 from loomgate.llm.percentiles import digest, merge, quantiles, rank_check, running_quantiles
 from loomgate.llm.quotas import cell_report, profiled_cells, quota_sample, sample_report
 from loomgate.llm.stable_sample import MASK, permute, stable_sample
@@ -164,6 +164,33 @@ def test_packing_histogram():
         pack_histogram({5: 1}, (4,))
 
 
+def test_sizes_are_chosen_by_cost():
+    """Long containers that cost more than their length are opened only for long items; without that cost they are best."""
+    rng = random.Random(10)
+    counts = {n: rng.randrange(1, 60) for n in range(1, 700)} | {1500: 40}
+    sizes = (256, 512, 1024, 2048)
+    plain = pack_histogram(counts, sizes)
+    dear = pack_histogram(counts, sizes, attention=16_384.0)
+    cost = lambda patterns: sum(container_cost(s, attention=16_384.0) * t for s, t, _ in patterns)
+    number = lambda patterns, size: sum(t for s, t, _ in patterns if s == size)
+    assert number(plain, 2048) > 100 and number(plain, 1024) < 5
+    assert number(dear, 1024) > 100 and number(dear, 2048) <= 45 and cost(dear) < cost(plain)
+    for patterns in (plain, dear):
+        total = sum(n * c for n, c in counts.items())
+        assert sum(s * t for s, t, _ in patterns) <= total * 1.01
+
+
+def test_packing_check(spark):
+    tokens = spark.createDataFrame([(i, i * 7 % 150) for i in range(300)], "doc_id bigint, n_tokens bigint")
+    packed = pack(tokens, sizes=(50, 100))
+    good = packing_check(packed, tokens, cap=100).first()
+    assert good["n_documents"] == 300 and not any(good[c] for c in ("n_lost", "n_doubled", "n_split", "n_over")) and good["well_filled"]
+    bad = packing_check(packed.filter("doc_id <> 5").union(packed.filter("doc_id = 6")), tokens, cap=100).first()
+    assert bad["n_lost"] == 1 and bad["n_doubled"] == 1 and bad["n_split"] == 1
+    assert sum(r["n_tokens"] for r in size_report(packed).collect()) == sum(i * 7 % 150 for i in range(300))
+    assert packing_check(pack(tokens.filter("doc_id < 0")), tokens.filter("doc_id < 0")).first()["n_documents"] == 0
+
+
 def test_pack_documents(spark):
     rng = random.Random(9)
     tokens = spark.createDataFrame([(i, rng.choice([0, 1, 40, 40, rng.randrange(1, 300)])) for i in range(500)], "doc_id bigint, n_tokens bigint")
