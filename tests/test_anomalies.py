@@ -42,6 +42,34 @@ def brute(rows):
     return out
 
 
+def sudden(rows):
+    """More than fourfold off the reading before, within an hour, and farther from the median than that."""
+    once = {}
+    for r in rows:
+        if r[3].strip().lower() == "ok" and r[6] is not None:
+            once.setdefault(r[0], r)
+    out = set()
+    for src in {(r[1], r[2]) for r in once.values()}:
+        mine = sorted((r for r in once.values() if (r[1], r[2]) == src), key=lambda r: (r[6], r[0]))
+        for c in (4, 5):
+            seq = [r for r in mine if r[c] is not None]
+            finite = [r[c] for r in seq if math.isfinite(r[c])]
+            med = statistics.median(finite) if finite else 1.0
+            for p, r in zip(seq, seq[1:]):
+                if all(math.isfinite(x[c]) and x[c] > 0 for x in (p, r)) and r[6] - p[6] <= timedelta(hours=1):
+                    if max(r[c] / p[c], p[c] / r[c]) > 4 and abs(math.log(r[c] / med)) > abs(math.log(p[c] / med)):
+                        out.add(r[0])
+    return out
+
+
+def test_redelivered_with_another_time_counts_once(spark):
+    """The earliest row of a key counts, wherever its copies lie."""
+    start = datetime(2026, 1, 1)
+    rows = [(i, "a", "b", "ok", 10.0 + i / 100, 9.0, start + timedelta(minutes=i), None) for i in range(50)]
+    rows += [(7, "a", "b", "ok", 500.0, 9.0, start + timedelta(hours=5), None)]
+    assert not [r for r in flag_readings(spark.createDataFrame(rows, SCHEMA)).collect() if "level" in r["reasons"]]
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng, start, out = random.Random(7), datetime(2026, 1, 1), []
@@ -65,8 +93,10 @@ def rows():
 @pytest.mark.parametrize("chunk_rows", [20, 200_000])
 def test_same_as_brute_force(spark, rows, chunk_rows):
     """Also with runs of equal readings over many chunks."""
-    got = {r[0] for r in flag_readings(spark.createDataFrame(rows, SCHEMA), chunk_rows=chunk_rows).select("measurement_id").collect()}
-    assert got == brute(rows)
+    flagged = flag_readings(spark.createDataFrame(rows, SCHEMA), chunk_rows=chunk_rows).collect()
+    assert {r[0] for r in flagged if set(r[1]) - {"fence", "sudden"}} == brute(rows)
+    assert {r[0] for r in flagged if "sudden" in r[1]} == sudden(rows)
+    assert all("fence" in r[1] for r in flagged if "level" in r[1])
 
 
 def test_median_is_exact_after_many_splits(spark, rows):
