@@ -46,7 +46,7 @@ def sudden(rows):
     """More than fourfold off the reading before, within an hour, and farther from the median than that."""
     once = {}
     for r in rows:
-        if r[3].strip().lower() == "ok" and r[6] is not None:
+        if r[3] is not None and r[3].strip().lower() == "ok" and r[6] is not None:
             once.setdefault(r[0], r)
     out = set()
     for src in {(r[1], r[2]) for r in once.values()}:
