@@ -33,6 +33,8 @@ BITS_A_PIECE = 32
 MOST_BITS = 1 << 29
 #: Words whose hashes a scan keeps.
 KEPT_WORDS = 500_000
+#: Items that a verifying task keeps prepared.
+KEPT_ITEMS = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,36 +149,50 @@ def stretches(hits: list[int], before: int, after: int, n: int) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def least_edits(item: list[str], words: list[str], window: int, errors: int) -> int:
-    """Least edits, up to errors + 1, of any window of the item against any stretch of ``words``; short items count whole."""
-    if len(item) < window:
-        m = len(item)
-        return 0 if any(words[i : i + m] == item for i in range(len(words) - m + 1)) else errors + 1
-    piece = window // (errors + 1)
-    places: dict[tuple, list[int]] = {}
-    for p in range(len(words) - piece + 1):
-        places.setdefault(tuple(words[p : p + piece]), []).append(p)
-    full = {tuple(words[p : p + window]) for p in range(len(words) - window + 1)}
-    starts = range(len(item) - window + 1)
-    if any(tuple(item[s : s + window]) in full for s in starts):
-        return 0
-    best, number = errors + 1, {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = [number[w] for w in words]
-    for s in starts:
-        if best == 1:
-            break
-        masks = None
-        for j in range(errors + 1):
-            o = s + j * piece
-            for p in places.get(tuple(item[o : o + piece]), ()):
-                lo = max(0, p - j * piece - errors)
-                if masks is None:
-                    masks = {}
-                    for i, w in enumerate(item[s : s + window]):
-                        if w in number:
-                            masks[number[w]] = masks.get(number[w], 0) | 1 << i
-                best = min(best, myers_best(masks, window, ids[lo : p - j * piece + window + errors]))
-    return best
+class Item:
+    """A held-out item prepared for verification."""
+
+    def __init__(self, words: list[str], window: int, errors: int) -> None:
+        self.words, self.window, self.errors = words, window, errors
+        self.piece = window // (errors + 1)
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.offsets: dict[tuple, list[int]] = {}
+        for o in range(len(words) - self.piece + 1):
+            self.offsets.setdefault(tuple(words[o : o + self.piece]), []).append(o)
+        self.windows = {tuple(words[o : o + window]) for o in range(len(words) - window + 1)}
+        self._masks: dict[int, dict[int, int]] = {}
+
+    def masks(self, start: int) -> dict[int, int]:
+        got = self._masks.get(start)
+        if got is None:
+            got = self._masks[start] = {}
+            for i, w in enumerate(self.words[start : start + self.window]):
+                got[self.number[w]] = got.get(self.number[w], 0) | 1 << i
+        return got
+
+    def least_edits(self, words: list[str]) -> int:
+        """Least edits, up to errors + 1, of any window against any stretch of ``words``; short items count whole."""
+        n, window, piece, worst = len(self.words), self.window, self.piece, self.errors + 1
+        if n < window:
+            return 0 if any(words[i : i + n] == self.words for i in range(len(words) - n + 1)) else worst
+        hits = []
+        for p in range(len(words) - piece + 1):
+            at = self.offsets.get(tuple(words[p : p + piece]))
+            if at:
+                if tuple(words[p : p + window]) in self.windows:
+                    return 0
+                hits.append((p, at))
+        best, ids, tried = worst, [self.number.get(w, -1) for w in words], set()
+        for p, at in hits:
+            for o in at:
+                for j in range(self.errors + 1):
+                    start, lo = o - j * piece, max(0, p - j * piece - self.errors)
+                    if 0 <= start <= n - window and (start, lo) not in tried:
+                        tried.add((start, lo))
+                        best = min(best, myers_best(self.masks(start), window, ids[lo : p - j * piece + window + self.errors]))
+                        if best <= 1:  # no window is there unchanged
+                            return best
+        return best
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", window: int = 12, errors: int = 1) -> DataFrame:
@@ -246,14 +262,19 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     both = salted_join(both, held, ["no"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: dict[int, Item] = {}
         for pdf in batches:
             out = []
-            for doc, words, item, t in zip(pdf["doc"], pdf["words"], pdf["item"], pdf["text"]):
-                ws = WORD.findall(t.lower())
-                d = least_edits(ws, words.split(" "), window, errors)
+            for doc, words, no, item, t in zip(pdf["doc"], pdf["words"], pdf["no"], pdf["item"], pdf["text"]):
+                it = ready.get(no)
+                if it is None:
+                    if len(ready) > KEPT_ITEMS:
+                        ready.clear()
+                    it = ready[no] = Item(WORD.findall(t.lower()), window, errors)
+                d = it.least_edits(words.split(" "))
                 if d <= errors:
-                    out.append((doc, item, d, min(len(ws), window)))
+                    out.append((doc, item, d, min(len(it.words), window)))
             yield pd.DataFrame(out, columns=[key, item_key, "edits", "n_words"])
 
-    out = both.select("doc", "words", "item", "text").mapInPandas(verify, f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, n_words int")
+    out = both.select("doc", "words", "no", "item", "text").mapInPandas(verify, f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, n_words int")
     return out.groupBy(key, item_key).agg(F.min("edits").alias("edits"), F.max("n_words").alias("n_words"))

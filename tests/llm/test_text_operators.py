@@ -4,7 +4,7 @@ import json
 import random
 
 from loomgate.llm.collapse import Trie, canonical, layout_copies, radix_bounds
-from loomgate.llm.leaks import bloom_filter, in_filter, leaked_items, least_edits, myers_best, stretches
+from loomgate.llm.leaks import Item, bloom_filter, in_filter, leaked_items, myers_best, stretches
 from loomgate.llm.pii import find_pii, keyword_automaton, redact, scan
 
 RECORD = "event_id string, rendered_prompt string, tool_arguments string, gid string, canon string"
@@ -124,8 +124,8 @@ def test_least_edits_is_the_best_window():
     for _ in range(400):
         item, words = ([str(rng.randrange(4)) for _ in range(n)] for n in (rng.choice([12, 14, 20]), rng.randrange(40)))
         want = min(2, min(edit(item[s : s + 12], words) for s in range(len(item) - 11)))
-        assert least_edits(item, words, 12, 1) == want
-    assert least_edits(["a", "b"], ["x", "a", "b"], 12, 1) == 0 and least_edits(["a", "b"], ["a", "x", "b"], 12, 1) == 2
+        assert Item(item, 12, 1).least_edits(words) == want
+    assert Item(["a", "b"], 12, 1).least_edits(["x", "a", "b"]) == 0 and Item(["a", "b"], 12, 1).least_edits(["a", "x", "b"]) == 2
 
 
 def test_short_items_and_shared_pieces(spark):
