@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from typing import Any
 
 import numpy as np
@@ -10,15 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgate.functions.hashing import mixed
+
 #: Tasks that share the resamples of one key; each holds all rows of the key.
 PARTS = 4
 
 
 def session_draws(key: tuple[Any, ...], b: int, n: int) -> np.ndarray:
     """The n sessions of resample ``b``, as numbers in the order of their names."""
-    text = "|".join(["boot", *map(str, key), str(b)])
-    rng = np.random.Generator(np.random.PCG64(int(hashlib.sha256(text.encode()).hexdigest()[:16], 16)))
-    return np.floor(rng.random(n) * n).astype(np.int64)
+    return np.floor(mixed(b, np.arange(n), "|".join(["boot", *map(str, key)])) * n).astype(np.int64)
 
 
 def _weighted_percentile(values: np.ndarray, weights: np.ndarray, q: float) -> float:

@@ -5,33 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomgate.functions.hashing import uniform, uniform_sql
 from loomgate.functions.stats import exact_percentiles, jain
 from loomgate.operators.bootstrap import session_bootstrap
 from loomgate.operators.keyed import lookup_join
 from loomgate.operators.queues import simulate, virtual_finish
-from loomgate.operators.scans import busy_periods, fifo_times
-from loomgate.operators.workload import REGIMES, arrivals, assign_tenants, cascade_tier, decision, draw_service, light_threshold, serial_plan, traces
-from loomgate.plans.base import EV, SC, SP, events, measurements, scores
+from loomgate.operators.scans import BLOCK_ROWS, busy_periods, fifo_times, idle_groups, prefix_scan
+from loomgate.operators.workload import REGIMES, arrivals, assign_tenants, cascade_tier, checked_threshold, decision, draw_services, light_threshold, serial_plan, service_samples, traces
+from loomgate.plans.base import events, measurements, scores
 from loomgate.session import discard, durable
 
 SEEDS = (1, 2, 3)
 TENANTS = 8
-MAX_WAIT_US = 1_500_000
+HEAVY_SHARE = 0.5
 RESAMPLES = 2000
-#: Methods of the replays under the age limit, with the discipline and the method whose route and service they take.
+# Age limit, quantum (in mean services of the strong tier) and gate thresholds of the published replays.
+MAX_WAIT_US = 5_000_000
+QUANTUM = 1.0
+LEAST_BOTTLENECK, LEAST_GAIN, MOST_JAIN_DROP, MOST_PASS_DROP, LEAST_DIRECT_ALLOW = 0.2, 0.2, 0.02, 0.03, 0.2
+#: Methods with their discipline and the route that gives service and label.
 METHODS = {
-    "all_strong_fifo": ("fifo", "all_strong_fifo"), "cascade_fifo": ("fifo", "cascade_fifo"), "serial_cascade_fifo": ("fifo", "serial_cascade_fifo"),
-    "cascade_risk_priority": ("risk_priority", "cascade_fifo"), "cascade_tenant_vfinish": ("tenant_vfinish", "cascade_fifo"), "cascade_drr": ("drr", "cascade_fifo"),
+    "all_strong_fifo": ("fifo", "all_strong"), "cascade_fifo": ("fifo", "cascade"), "serial_cascade_fifo": ("fifo", "serial"),
+    "cascade_risk_priority": ("risk_priority", "cascade"), "cascade_tenant_vfinish": ("tenant_vfinish", "cascade"), "cascade_drr": ("drr", "cascade"),
 }
+BASE, CANDIDATE, FAIR = "all_strong_fifo", "cascade_tenant_vfinish", "cascade_drr"
+STRESSED = ("near_saturation", "burst")
 KEYS = ["regime", "seed"]
 RUN = ["regime", "seed", "method"]
+ROUTE = ["regime", "seed", "route"]
 
 
 def samples(spark, d):
-    v = F.col("wall_ms")
-    ok = (F.col("status") == "ok") & v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf")) & F.col("input_length_tercile").isNotNull()
-    return measurements(spark, d).filter(ok).select("measurement_id", "tier", "input_length_tercile", F.round(v * 1000).cast("bigint").alias("us"))
+    return service_samples(measurements(spark, d))
 
 
 def calibration_rows(spark, d):
@@ -40,60 +44,102 @@ def calibration_rows(spark, d):
     return e.select("event_id", (F.col("ground_truth_safety") == "unsafe_for_light_allow").alias("unsafe")).join(light, "event_id")
 
 
-def jobs(spark, d):
-    """Evaluation actions with good scores of both tiers and equal length bins."""
+def _scored(spark, d):
+    """Every evaluation action with what it has of both tiers' good scores, and why it can't be replayed (null: it can)."""
     s = scores(spark, d).filter("status = 'ok'")
     light = s.filter("tier = 'light'").select("event_id", "input_length_tercile", F.col("label").alias("light_label"), "risk_score")
     strong = s.filter("tier = 'strong'").select("event_id", F.col("input_length_tercile").alias("t2"), F.col("label").alias("strong_label"))
     e = events(spark, d).filter("split = 'evaluation'").select("event_id", "session_id", F.coalesce("hard_required", F.lit(False)).alias("hard_required"), "ground_truth_safety")
-    tenant = F.floor(uniform("tenant", F.col("session_id")) * TENANTS).cast("int")
-    return e.join(light, "event_id").join(strong, "event_id").filter("input_length_tercile = t2").drop("t2").withColumn("tenant_id", tenant)
+    both = e.join(light, "event_id", "left").join(strong, "event_id", "left")
+    why = F.when(F.col("light_label").isNull(), "no light score").when(F.col("strong_label").isNull(), "no strong score")
+    return both.withColumn("why", why.when(F.col("input_length_tercile").isNull() | F.col("t2").isNull(), "no length bin").when(F.col("input_length_tercile") != F.col("t2"), "length bins differ"))
+
+
+def jobs(spark, d, strict: bool = False):
+    """Evaluation actions with good scores of both tiers and equal length bins; ``j_unscored`` lists the others.
+
+    ``strict`` fails where there are others.
+    """
+    rows = _scored(spark, d)
+    if strict:
+        lost = rows.filter(F.col("why").isNotNull()).select("event_id", "why").orderBy("event_id").limit(3).collect()
+        if lost:
+            raise ValueError(f"actions that can't be replayed: {[tuple(r) for r in lost]}")
+    return rows.filter(F.col("why").isNull()).drop("t2", "why")
 
 
 def tenants(spark, d):
-    """Whole sessions to 8 tenants, of which one takes half of all actions."""
+    """Whole sessions of the evaluation actions to 8 tenants, of which one takes half of them."""
     e = events(spark, d).filter("split = 'evaluation'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    return assign_tenants(e, TENANTS, 0.5)
+    return assign_tenants(durable(e, "sessions"), TENANTS, HEAVY_SHARE)
 
 
 def assigned_jobs(spark, d):
-    """The jobs with the tenants of ``tenants``; those without a session are one session."""
+    """The jobs with their tenants, as a table; those without a session are one session."""
     named = F.coalesce(F.concat(F.lit("s"), "session_id"), F.lit(""))  # null keys match nothing
     by_session = durable(tenants(spark, d).select(named.alias("_session"), "tenant_id"), "tenants")
-    rows = durable(jobs(spark, d).drop("tenant_id").withColumn("_session", named), "jobs")
-    return lookup_join(rows, by_session, "_session").drop("_session")
+    rows = durable(jobs(spark, d).withColumn("_session", named), "jobs")
+    return durable(lookup_join(rows, by_session, "_session").drop("_session"), "assigned")
 
 
-def trace(spark, d, assigned: bool = False):
-    """All traces as a table: every discipline sees the same arrivals and draws.
+def reference_us(pool) -> int:
+    """Mean strong service over all samples, whole microseconds."""
+    row = pool.filter("tier = 'strong'").agg(F.coalesce(F.sum("us"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return row["s"] // max(row["n"], 1)
 
-    ``assigned``: with the tenants of ``tenants``, one of them heavy; else by a hash of the session, as the SQL has it.
-    """
-    pool = samples(spark, d)
-    strong = pool.filter("tier = 'strong'").agg(F.coalesce(F.sum("us"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    reference = strong["s"] // max(strong["n"], 1)
-    rows = arrivals(traces((assigned_jobs if assigned else jobs)(spark, d), REGIMES, SEEDS), reference)
-    rows = draw_service(draw_service(rows, pool, "light", "light_us"), pool, "strong", "strong_us")
-    return durable(rows, "trace")
+
+def trace(spark, d, draws: bool = True):
+    """(all traces, mean strong service): every method sees the same arrivals and draws."""
+    pool = durable(samples(spark, d), "samples")
+    mean, rows = reference_us(pool), assigned_jobs(spark, d)
+    out = arrivals(traces(rows, REGIMES, SEEDS), mean, rows.count())
+    return draw_services(out, pool) if draws else out, mean
 
 
 def threshold(spark, d) -> float:
-    return light_threshold(calibration_rows(spark, d)).first()["threshold"]
+    # the small test tables are below the size that the bound asks for; c_threshold tells
+    return checked_threshold(light_threshold(calibration_rows(spark, d)), strict=False)
 
 
 def routed(traced, t: float):
-    """One row a job and method, with its label and service."""
-    plan = serial_plan(t)
-    tier = cascade_tier(t)
-    pick = lambda col: F.when(tier == "strong", F.col("strong_" + col)).otherwise(F.col("light_" + col))
-    serial_us = F.when(F.array_contains(plan["stages"], "light"), F.col("light_us")).otherwise(0) + F.when(F.array_contains(plan["stages"], "strong"), F.col("strong_us")).otherwise(0)
-    methods = F.array(
-        F.struct(F.lit("all_strong_fifo").alias("method"), F.col("strong_label").alias("label"), F.col("strong_us").alias("service_us")),
-        F.struct(F.lit("cascade_fifo").alias("method"), pick("label").alias("label"), pick("us").alias("service_us")),
-        F.struct(F.lit("serial_cascade_fifo").alias("method"), plan["label"].alias("label"), serial_us.cast("bigint").alias("service_us")),
+    """One row a job and route, with its label, stages, reason, service and estimated cost."""
+    traced = traced.withColumn("_plan", serial_plan(t)).withColumn("_tier", cascade_tier(t))
+    plan, tier = F.col("_plan"), F.col("_tier")
+    strong = tier == "strong"
+    pick = lambda col: F.when(strong, F.col("strong_" + col)).otherwise(F.col("light_" + col))
+    stage = lambda name: F.when(F.array_contains(plan["stages"], name), F.col(name + "_us")).otherwise(0)
+    each = lambda route, label, stages, reason, us, cost: F.struct(F.lit(route).alias("route"), label.alias("label"), stages.alias("stages"), reason.alias("reason"), us.cast("bigint").alias("service_us"), cost.alias("cost_us"))
+    why = F.when(~strong, "risk_accepted").when(F.col("hard_required"), "hard_to_strong").otherwise("risk_to_strong")
+    routes = F.array(
+        each("all_strong", F.col("strong_label"), F.lit("strong"), F.lit("all_strong"), F.col("strong_us"), F.col("strong_mean_us")),
+        each("cascade", pick("label"), tier, why, pick("us"), pick("mean_us")),
+        each("serial", plan["label"], F.array_join(plan["stages"], "+"), plan["reason"], stage("light") + stage("strong"), F.col("light_mean_us")),
     )
-    keep = ["regime", "seed", "event_id", "session_id", "tenant_id", "input_length_tercile", "hard_required", "ground_truth_safety", "risk_score", "arrival_us"]
-    return traced.select(*keep, F.explode(methods).alias("m")).select(*keep, "m.*")
+    keep = [c for c in traced.columns if c in ("regime", "seed", "event_id", "session_id", "tenant_id", "hard_required", "ground_truth_safety", "risk_score", "arrival_us", "vfinish_us")]
+    return traced.select(*keep, F.explode(routes).alias("m")).select(*keep, "m.*")
+
+
+def replay(spark, d, methods: tuple[str, ...] = tuple(METHODS)):
+    """Outcomes of the methods under the age limit, as a table."""
+    traced, mean = trace(spark, d)
+    t, block = threshold(spark, d), max(1, mean * BLOCK_ROWS)
+    if any(METHODS[m][0] == "tenant_vfinish" for m in methods):
+        cost = F.when(cascade_tier(t) == "strong", F.col("strong_mean_us")).otherwise(F.col("light_mean_us"))
+        traced = virtual_finish(traced.withColumn("cost_us", cost), KEYS, block_us=block).drop("cost_us")
+    else:
+        traced = traced.withColumn("vfinish_us", F.lit(0).cast("bigint"))
+    used = {METHODS[m][1] for m in methods}
+    timed = fifo_times(routed(traced, t).filter(F.col("route").isin(*used)), ROUTE, block_us=block)
+    grouped = idle_groups(timed, ROUTE, block_us=block).drop("start_us", "completion_us", "wait_us")
+    own = F.create_map(*[x for r in sorted(used) for x in (F.lit(r), F.array(*[F.lit(m) for m in methods if METHODS[m][1] == r]))])
+    queue = grouped.withColumn("method", F.explode(own[F.col("route")])).withColumn("sequence", F.col("event_id"))
+    done = simulate(queue, RUN, {m: METHODS[m][0] for m in methods}, MAX_WAIT_US, TENANTS, max(1, int(mean * QUANTUM)))
+    return durable(done.drop("group_id", "sequence", "route"), "outcomes")
+
+
+def j_unscored(spark, d):
+    """Evaluation actions that can't be replayed, and why."""
+    return _scored(spark, d).filter(F.col("why").isNotNull()).select("event_id", "why")
 
 
 def c_threshold(spark, d):
@@ -102,11 +148,20 @@ def c_threshold(spark, d):
 
 def g_arrivals(spark, d):
     """Poisson and modulated arrivals of every trace."""
-    return trace(spark, d).select("regime", "seed", "event_id", "peaking", "arrival_us")
+    return trace(spark, d, draws=False)[0].select("regime", "seed", "event_id", "tenant_id", "peaking", "arrival_us")
 
 
 def g_service_draw(spark, d):
-    return trace(spark, d).select("regime", "seed", "event_id", "light_us", "strong_us")
+    return trace(spark, d)[0].select("regime", "seed", "event_id", "light_us", "strong_us")
+
+
+def g_trace_digest(spark, d):
+    """A digest of each trace: the sum of the digests of its rows, with their sequence numbers."""
+    rows, mean = trace(spark, d)
+    rows = prefix_scan(rows, KEYS, F.floor(F.col("arrival_us") / max(1, mean * BLOCK_ROWS)), ["arrival_us", "event_id"], F.lit(1), "sequence")
+    text = F.concat_ws("|", F.col("sequence") - 1, "event_id", "tenant_id", "arrival_us", F.when(F.col("hard_required"), "1").otherwise("0"), "input_length_tercile", "light_us", "strong_us")
+    number = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum(number).cast("string").alias("digest"))
 
 
 def g_tenant_assignment(spark, d):
@@ -125,264 +180,190 @@ def r_serial_plan(spark, d):
 
 
 def _fifo(spark, d):
-    return durable(fifo_times(routed(trace(spark, d), threshold(spark, d)), RUN), "replay")
+    traced, mean = trace(spark, d)
+    return fifo_times(routed(traced, threshold(spark, d)), ROUTE, block_us=max(1, mean * BLOCK_ROWS)), mean
 
 
 def q_fifo_wait(spark, d):
-    return _fifo(spark, d).select(*RUN, "event_id", "arrival_us", "start_us", "wait_us")
+    """First come, first served without an age limit, in closed form."""
+    return _fifo(spark, d)[0].select(*ROUTE, "event_id", "arrival_us", "start_us", "wait_us")
 
 
 def q_busy_periods(spark, d):
-    rows = busy_periods(_fifo(spark, d), RUN)
-    return rows.groupBy(*RUN, "busy_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.min("arrival_us").alias("from_us"), F.max("completion_us").alias("to_us"))
-
-
-def _costed(spark, d, assigned: bool = False):
-    """The cascade's jobs with their estimated cost: the mean of the tier and tercile, never the sampled time."""
-    t = threshold(spark, d)
-    return _with_costs(spark, d, routed(trace(spark, d, assigned), t).filter("method = 'cascade_fifo'").drop("method"), t)
-
-
-def _with_costs(spark, d, cascade, t: float):
-    means = samples(spark, d).groupBy("tier", "input_length_tercile").agg(F.floor(F.sum("us") / F.count(F.lit(1))).alias("cost_us"))
-    rows = cascade.withColumn("tier", cascade_tier(t))
-    return virtual_finish(rows.join(F.broadcast(means), ["tier", "input_length_tercile"]), KEYS)  # one row a tier and tercile
+    timed, mean = _fifo(spark, d)
+    rows = busy_periods(timed, ROUTE, block_us=max(1, mean * BLOCK_ROWS))
+    return rows.groupBy(*ROUTE, "busy_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.min("arrival_us").alias("from_us"), F.max("completion_us").alias("to_us"))
 
 
 def q_virtual_finish(spark, d):
-    """With tenants by a hash of the session, as the SQL has it; ``q_assigned_vfinish`` has the heavy tenant."""
-    return _costed(spark, d).select(*KEYS, "event_id", "tenant_id", "vfinish_us")
-
-
-def q_assigned_vfinish(spark, d):
-    """Virtual finish times of the tenants that the disciplines are replayed with."""
-    return _costed(spark, d, assigned=True).select(*KEYS, "event_id", "tenant_id", "vfinish_us")
-
-
-def _normal_cost(rows):
-    mean = rows.agg(F.coalesce(F.avg("cost_us"), F.lit(1.0))).first()[0]
-    return rows.withColumn("cost", F.col("cost_us") / F.lit(mean))
-
-
-def limited(spark, d, methods: tuple[str, ...] = tuple(METHODS)):
-    """Outcomes of the methods under the age limit, in traces with the heavy tenant."""
-    t = threshold(spark, d)
-    traced = trace(spark, d, assigned=True)
-    timed = fifo_times(routed(traced, t).filter(F.col("method").isin(*{METHODS[m][1] for m in methods})), RUN)
-    timed = durable(busy_periods(timed, RUN).drop("start_us", "completion_us", "wait_us"), "routed")
-    discard(traced)
-    rows = timed.withColumn("sequence", F.col("event_id"))
-    queue = rows.filter(F.col("method").isin(*methods)).withColumn("vfinish_us", F.lit(0).cast("bigint")).withColumn("cost", F.lit(0.0))
-    others = [m for m in methods if METHODS[m][0] != "fifo"]
-    kept = [timed]
-    if others:
-        kept.append(durable(_with_costs(spark, d, rows.filter("method = 'cascade_fifo'"), t), "cascade"))
-        cascade = _normal_cost(kept[-1]).withColumn("method", F.explode(F.array(*[F.lit(m) for m in others])))
-        queue = queue.unionByName(cascade.select(*queue.columns))
-    done = None
-    for discipline in sorted({METHODS[m][0] for m in methods}):
-        mine = [m for m in methods if METHODS[m][0] == discipline]
-        part = simulate(queue.filter(F.col("method").isin(*mine)), RUN, discipline, MAX_WAIT_US, TENANTS)
-        done = part if done is None else done.unionByName(part)
-    out = durable(done.join(queue.drop("busy_id", "sequence", "vfinish_us", "cost"), [*RUN, "event_id"]), "outcomes")
-    for table in kept:
-        discard(table)
-    return out
+    """Virtual finish times by tenant: estimated costs of the routed tier, never the sampled times."""
+    traced, mean = trace(spark, d)
+    cost = F.when(cascade_tier(threshold(spark, d)) == "strong", F.col("strong_mean_us")).otherwise(F.col("light_mean_us"))
+    return virtual_finish(traced.withColumn("cost_us", cost), KEYS, block_us=max(1, mean * BLOCK_ROWS)).select(*KEYS, "event_id", "tenant_id", "vfinish_us")
 
 
-def outcomes(spark, d, discipline: str):
-    """Outcomes of a discipline over the cascade's service times, with a heavy tenant."""
-    rows = _normal_cost(_costed(spark, d, assigned=True)).withColumn("sequence", F.col("event_id"))
-    if discipline != "drr":
-        rows = busy_periods(fifo_times(rows, KEYS), KEYS)
-    rows = durable(rows, "queue")
-    done = simulate(rows, KEYS, discipline, MAX_WAIT_US, TENANTS)
-    return done.join(rows.drop("start_us", "completion_us", "wait_us", "busy_id"), [*KEYS, "event_id"])
+def _queue(method: str):
+    def query(spark, d):
+        return replay(spark, d, (method,)).select(*KEYS, "event_id", "tenant_id", "arrival_us", "start_us", "wait_us", "timed_out")
 
+    query.__doc__ = f"Every outcome of {method} under the age limit."
+    return query
 
-def _summary(done):
-    waits = exact_percentiles(done, KEYS, "wait_us", {"p50": 0.5, "p95": 0.95})
-    out = done.groupBy(*KEYS).agg(F.count_if("timed_out").alias("n_timed_out"), F.max("wait_us").alias("longest_us"))
-    return waits.join(out, KEYS).select(*KEYS, "n", "n_timed_out", "longest_us", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
 
+q_fifo_timeout, q_risk_priority, q_tenant_vfinish, q_drr = (_queue(m) for m in ("cascade_fifo", "cascade_risk_priority", "cascade_tenant_vfinish", "cascade_drr"))
 
-def q_fifo_timeout(spark, d):
-    return _summary(outcomes(spark, d, "fifo"))
+_ms = lambda c: F.round(F.col(c) / 1000, 6)
+_r = lambda c: F.round(c, 8)
+_per = lambda a, n: F.col(a) / F.greatest(F.col(n), F.lit(1))
 
 
-def q_risk_priority(spark, d):
-    return _summary(outcomes(spark, d, "risk_priority"))
+def _by_tenant(done):
+    """Every tenant of every run, those without jobs too: ``n, n_completed, share, latency_p95``."""
+    latency = done.withColumn("latency_us", F.col("completion_us") - F.col("arrival_us"))
+    per = latency.groupBy(*RUN, "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("timed_out")).alias("n_completed"))
+    p95 = exact_percentiles(latency, [*RUN, "tenant_id"], "latency_us", {"latency_p95": 0.95}).drop("n")
+    every = done.select(*RUN).distinct().select(*RUN, F.explode(F.sequence(F.lit(0), F.lit(TENANTS - 1))).alias("tenant_id"))
+    out = every.join(per, [*RUN, "tenant_id"], "left").join(p95, [*RUN, "tenant_id"], "left")
+    out = out.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).withColumn("n_completed", F.coalesce("n_completed", F.lit(0).cast("bigint")))
+    return out.withColumn("share", F.when(F.col("n") > 0, F.col("n_completed") / F.col("n")).otherwise(1.0))
+
+
+def _counts(done):
+    """Wide aggregate of the outcomes of each run; a job that timed out is abstained from and took no service."""
+    made, late = decision(F.col("label"), F.col("timed_out")), F.col("timed_out")
+    benign, hard = F.col("ground_truth_safety") == "benign_expected", F.col("hard_required")
+    unsafe = ~F.coalesce(benign, F.lit(False))
+    stage = lambda name: F.sum(F.when(~late & F.contains("stages", F.lit(name)), 1).otherwise(0))
+    return done.groupBy(*RUN).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~late).alias("n_completed"), F.max("wait_us").alias("wait_max"), F.sum(F.when(late, 0).otherwise(F.col("service_us"))).alias("busy_us"),
+        F.greatest(F.coalesce(F.max(F.when(~late, F.col("completion_us"))), F.min("arrival_us")) - F.min("arrival_us"), F.lit(1)).alias("span_us"),
+        stage("light").alias("n_light_stages"), stage("strong").alias("n_strong_stages"), F.count_if(made == "abstain").alias("n_abstain"),
+        F.count_if(benign).alias("n_benign"), F.count_if(benign & (made == "allow")).alias("n_benign_pass"),
+        F.count_if(unsafe).alias("n_dangerous"), F.count_if(unsafe & (made == "allow")).alias("n_dangerous_allowed"),
+        F.count_if(hard & ~late & ~F.contains("stages", F.lit("strong"))).alias("n_hard_downgrades"), F.count_if(late & (made != "abstain")).alias("n_fail_open"),
+        F.count_if(~hard).alias("n_nonhard"), F.count_if(~hard & (made == "allow")).alias("n_nonhard_allowed"), F.count_if(~hard & unsafe & (made == "allow")).alias("n_nonhard_unsafe_allowed"),
+        F.count_if(late).alias("n_starved"), F.count_if(~late & (F.col("reason") == "light_abstain_to_strong")).alias("n_abstain_escalations"),
+        F.count_if(~late & (F.col("label") == "2") & (F.col("stages") == "light")).alias("n_final_light_abstain"), F.count_if(~late & ~hard & (F.col("reason") == "light_allow")).alias("n_direct_allow"),
+    )
 
 
-def q_tenant_vfinish(spark, d):
-    return _summary(outcomes(spark, d, "tenant_vfinish"))
+def _metrics(done):
+    latency = done.withColumn("latency_us", F.col("completion_us") - F.col("arrival_us"))
+    ps = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    wait = exact_percentiles(done, RUN, "wait_us", {f"wait_{k}": q for k, q in ps.items()}).drop("n")
+    slow = exact_percentiles(latency, RUN, "latency_us", {f"latency_{k}": q for k, q in ps.items()}).drop("n")
+    fair = _by_tenant(done).groupBy(*RUN).agg(jain(F.col("share")).alias("jain"), F.max("latency_p95").alias("worst"), F.max(1 - F.col("share")).alias("deficit"))
+    return _counts(done).join(wait, RUN).join(slow, RUN).join(fair, RUN)  # one row a run
 
 
-def q_drr(spark, d):
-    return _summary(outcomes(spark, d, "drr"))
+def m_method_metrics(spark, d):
+    """All metrics of every method under the age limit."""
+    risk = F.when((F.col("n_nonhard_allowed") > 0) & (F.col("n_dangerous") > 0), F.col("n_nonhard_unsafe_allowed") / F.col("n_nonhard_allowed"))
+    return _metrics(replay(spark, d)).select(
+        *RUN, F.col("n").alias("n_events"), "n_completed", *[_ms(f"wait_{p}").alias(f"wait_{p}_ms") for p in ("p50", "p95", "p99", "max")], *[_ms(f"latency_{p}").alias(f"latency_{p}_ms") for p in ("p50", "p95", "p99")],
+        _r(F.col("n_completed") / F.greatest(F.col("span_us") / 1e6, F.lit(0.001))).alias("throughput"), _r(F.col("busy_us") / F.col("span_us")).alias("utilization"),
+        _r(_per("n_strong_stages", "n")).alias("strong_fraction"), _r(_per("n_abstain", "n")).alias("abstention_rate"), _r(_per("n_benign_pass", "n_benign")).alias("benign_pass_rate"),
+        "n_dangerous_allowed", "n_dangerous", "n_hard_downgrades", "n_fail_open", _r(risk).alias("accepted_nonhard_risk"), _r(F.col("jain")).alias("jain"), _ms("worst").alias("worst_tenant_p95_ms"), _r(F.col("deficit")).alias("most_deficit"), "n_starved",
+    )
 
 
-def _metrics(done):
-    """``done`` has ``timed_out``: such a job waited to the limit, was abstained from and took no service."""
-    p = exact_percentiles(done, RUN, "wait_us", {"wait_p50": 0.5, "wait_p95": 0.95})
-    lat = exact_percentiles(done.withColumn("latency_us", F.col("completion_us") - F.col("arrival_us")), RUN, "latency_us", {"latency_p95": 0.95}).drop("n")
-    benign, unsafe = F.col("ground_truth_safety") == "benign_expected", F.col("ground_truth_safety") != "benign_expected"
-    made = decision(F.col("label"), F.col("timed_out"))
-    g = done.groupBy(*RUN).agg(
-        F.sum(F.when(F.col("timed_out"), 0).otherwise(F.col("service_us"))).alias("busy"), F.count_if("timed_out").alias("n_timed_out"), F.greatest(F.max("completion_us") - F.min("arrival_us"), F.lit(1)).alias("span"), F.count_if(benign & (made == "allow")).alias("n_benign_pass"),
-        F.count_if(benign).alias("n_benign"), F.count_if(unsafe & (made == "allow")).alias("n_dangerous"), F.count_if(made == "abstain").alias("n_abstain"),
-    )
-    r6 = lambda c: F.round(c, 6)
-    return p.join(lat, RUN).join(g, RUN).select(
-        *RUN, "n", "n_timed_out", r6("wait_p50").alias("wait_p50_us"), r6("wait_p95").alias("wait_p95_us"), r6("latency_p95").alias("latency_p95_us"), r6(F.col("busy") / F.col("span")).alias("utilization"),
-        r6((F.col("n") - F.col("n_timed_out")) / (F.col("span") / 1e6)).alias("throughput"), r6(F.col("n_benign_pass") / F.greatest("n_benign", F.lit(1))).alias("benign_pass_rate"), "n_dangerous", r6(F.col("n_abstain") / F.col("n")).alias("abstain_rate"),
+def m_serial_metrics(spark, d):
+    """Stages and escalations of the serial cascade beside all-strong."""
+    both = _metrics(replay(spark, d, (BASE, "serial_cascade_fifo")))
+    return both.select(
+        *RUN, F.col("n").alias("n_events"), _ms("wait_p95").alias("wait_p95_ms"), _ms("latency_p95").alias("latency_p95_ms"), _ms("wait_max").alias("wait_max_ms"), _r(_per("n_light_stages", "n")).alias("light_stage_fraction"),
+        _r(_per("n_strong_stages", "n")).alias("strong_stage_fraction"), _r((F.col("n_light_stages") + F.col("n_strong_stages")) / F.greatest("n", F.lit(1))).alias("mean_stages"), "n_abstain_escalations", "n_final_light_abstain",
+        "n_direct_allow", _r(_per("n_direct_allow", "n_nonhard")).alias("direct_allow_rate"), "n_dangerous", "n_dangerous_allowed", "n_hard_downgrades", _r(_per("n_benign_pass", "n_benign")).alias("benign_pass_rate"), "n_starved", _r(F.col("jain")).alias("jain"),
     )
 
 
-def m_method_metrics(spark, d):
-    """The first-come methods without an age limit, as the SQL has it; ``m_limited_metrics`` has the limit."""
-    return _metrics(_fifo(spark, d).withColumn("timed_out", F.lit(False))).drop("n_timed_out")
+def m_tenant_fairness(spark, d):
+    """Per tenant: jobs, completed ones and the 95th percentile of latency; tenants without jobs count as served in full."""
+    return _by_tenant(replay(spark, d)).select(*RUN, "tenant_id", "n", "n_completed", _r(F.col("share")).alias("share"), _ms("latency_p95").alias("latency_p95_ms"))
 
 
-def m_limited_metrics(spark, d):
-    """Every method under the age limit."""
-    return _metrics(limited(spark, d))
+def b_session_bootstrap(spark, d):
+    """Per trace: 95 % interval of what virtual finish gains on all-strong in the 95th percentile of latency, over resampled sessions."""
+    done = replay(spark, d, (BASE, CANDIDATE))
+    rows = done.select(*KEYS, "session_id", (F.col("method") == BASE).alias("base"), (F.col("completion_us") - F.col("arrival_us")).alias("latency"))
+    gains = session_bootstrap(rows, KEYS, RESAMPLES)
+    points = [F.round(F.percentile("gain", q), 6).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))]
+    return gains.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_resamples"), *points)
 
 
-def _fairness(done, quick):
-    per = done.groupBy(*RUN, "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(quick).alias("quick"))
-    every = done.select(*RUN).distinct().select(*RUN, F.explode(F.sequence(F.lit(0), F.lit(TENANTS - 1))).alias("tenant_id"))
-    share = F.coalesce(F.col("quick") / F.col("n"), F.lit(1.0))
-    rows = every.join(per, [*RUN, "tenant_id"], "left").withColumn("share", share)
-    return rows.groupBy(*RUN).agg(F.round(jain(F.col("share")), 6).alias("jain"), F.round(F.min("share"), 6).alias("worst_share"))
+def t_gate_bottleneck(spark, d):
+    """Per stressed regime: median over the seeds of the part of all-strong's latency that is waiting, and whether any regime has a fifth."""
+    return _bottleneck(_metrics(replay(spark, d, (BASE,))))
 
 
-def m_tenant_fairness(spark, d):
-    """Fairness over all tenants, those without jobs included, of what was served within 300 ms; no age limit, as the SQL has it."""
-    return _fairness(_fifo(spark, d), F.col("wait_us") <= 300_000)
+def _bottleneck(m):
+    rows = m.filter((F.col("method") == BASE) & F.col("regime").isin(*STRESSED)).withColumn("x", F.col("wait_p95") / F.greatest(F.col("latency_p95"), F.lit(1)))
+    out = rows.groupBy("regime").agg(F.round(F.percentile("x", 0.5), 6).alias("median_wait_share"))
+    return out.withColumn("passes", F.max(F.col("median_wait_share") >= LEAST_BOTTLENECK).over(Window.partitionBy()))
 
 
-def m_limited_fairness(spark, d):
-    """Fairness over all tenants, those without jobs included, of what was served before the age limit."""
-    return _fairness(limited(spark, d), ~F.col("timed_out"))
+def t_gate_gain(spark, d):
+    """Per regime and method: median over the seeds of what it gains on all-strong, and whether it gains a fifth in any stressed regime."""
+    return _gain(_metrics(replay(spark, d)))
 
 
-def b_session_bootstrap(spark, d):
-    """Paired bootstrap over sessions: how much the cascade changes the 95th percentile of latency, 40 resamples of one trace, as the SQL has it."""
-    done = _fifo(spark, d).filter("regime = 'near_saturation' and seed = 1 and method in ('all_strong_fifo', 'cascade_fifo')")
-    done = durable(done.select("method", "session_id", (F.col("completion_us") - F.col("arrival_us")).alias("latency")), "paired")
-    ids = durable(done.select("session_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("session_id")) - 1), "sessions")
-    n = ids.count()
-    draws = spark.range(40 * n).select(F.floor(F.col("id") / max(n, 1)).alias("b"), F.floor(uniform("boot", F.col("id")) * n).alias("i"))
-    weights = draws.groupBy("b", "i").agg(F.count(F.lit(1)).alias("w")).join(ids, "i").select("b", "session_id", "w")
-    p = done.join(weights, "session_id").groupBy("b", "method", "latency").agg(F.sum("w").alias("w")).groupBy("b", "method").agg(F.percentile(F.col("latency"), 0.95, F.col("w")).alias("p95"))
-    wide = p.groupBy("b").agg(F.max(F.when(F.col("method") == "all_strong_fifo", F.col("p95"))).alias("a"), F.max(F.when(F.col("method") == "cascade_fifo", F.col("p95"))).alias("c"))
-    gain = 1 - F.col("c") / F.greatest("a", F.lit(0.001))
-    return wide.agg(*[F.round(F.percentile(gain, q), 6).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
-
-
-def b_limited_bootstrap(spark, d):
-    """Per trace: 95 % interval of what virtual finish gains on all-strong in the 95th percentile of latency, under the age limit."""
-    done = limited(spark, d, ("all_strong_fifo", "cascade_tenant_vfinish"))
-    rows = done.select(*KEYS, "session_id", (F.col("method") == "all_strong_fifo").alias("base"), (F.col("completion_us") - F.col("arrival_us")).alias("latency"))
-    gains = session_bootstrap(rows, KEYS, RESAMPLES)
-    points = [F.round(F.percentile("gain", q), 6).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))]
-    return gains.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_resamples"), *points)
+def _gain(m):
+    base = m.filter(F.col("method") == BASE).select(*KEYS, F.col("latency_p95").alias("base"))
+    gain = m.filter(F.col("method") != BASE).join(base, KEYS).withColumn("gain", 1 - F.col("latency_p95") / F.greatest("base", F.lit(1)))
+    out = gain.groupBy("regime", "method").agg(F.round(F.percentile("gain", 0.5), 6).alias("median_gain"))
+    good = F.col("regime").isin(*STRESSED) & (F.col("median_gain") >= LEAST_GAIN)
+    return out.withColumn("passes", F.max(good).over(Window.partitionBy("method")))
 
 
-def t_gate_gain(spark, d):
-    """Per regime: median over the seeds of what each method gains on all-strong, and whether it is a fifth; no age limit, as the SQL has it."""
-    return _gain(m_method_metrics(spark, d))
+def _pairs(m, candidate: str, columns: tuple[str, ...]):
+    """Each trace's metrics of all-strong (``base_``), deficit round robin (``fair_``) and the candidate."""
+    side = lambda method, name: m.filter(F.col("method") == method).select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    out = m.filter(F.col("method") == candidate).join(side(BASE, "base"), KEYS)
+    return out.join(side(FAIR, "fair"), KEYS, "left")
 
 
-def t_limited_gain(spark, d):
-    """``t_gate_gain`` of every method under the age limit."""
-    return _gain(m_limited_metrics(spark, d))
+def _status(gate: str, good):
+    return F.struct(F.lit(gate).alias("gate"), F.when(good.isNull(), "not_evaluable").when(good, "pass").otherwise("fail").alias("status"))
 
 
-def _gain(m):
-    base = m.filter("method = 'all_strong_fifo'").select(*KEYS, F.col("latency_p95_us").alias("base"))
-    gain = m.filter("method <> 'all_strong_fifo'").join(base, KEYS).withColumn("gain", 1 - F.col("latency_p95_us") / F.greatest("base", F.lit(0.001)))
-    return gain.groupBy("regime", "method").agg(F.round(F.percentile("gain", 0.5), 6).alias("median_gain")).withColumn("passes", F.col("median_gain") >= 0.2)
+def t_gates(spark, d):
+    """The six gates of virtual finish against all-strong and deficit round robin."""
+    m = durable(_metrics(replay(spark, d)), "metrics")
+    pass_rate = lambda p="": F.col(p + "n_benign_pass") / F.greatest(F.col(p + "n_benign"), F.lit(1))
+    x = _pairs(m, CANDIDATE, ("n_benign_pass", "n_benign", "jain"))
+    per = x.agg(
+        F.every((F.col("n_hard_downgrades") == 0) & (F.col("n_fail_open") == 0)).alias("hard"), F.every((F.col("n_starved") == 0) & (F.col("jain") >= F.col("fair_jain") - MOST_JAIN_DROP)).alias("fair"),
+        F.every(pass_rate() >= pass_rate("base_") - MOST_PASS_DROP).alias("utility"),
+    )
+    first = _bottleneck(m).agg(F.max("passes").alias("bottleneck"))
+    gain = _gain(m).filter(F.col("method") == CANDIDATE).agg(F.max("passes").alias("gain"))
+    one = per.join(F.broadcast(first)).join(F.broadcast(gain))  # one row each
+    # matched danger can't be judged by a replay whose evaluation actions carry no executed outcome
+    gates = [_status("F1_bottleneck", F.col("bottleneck")), _status("F2_latency_gain", F.col("gain")), _status("F3_hard_safety", F.col("hard")), _status("F4_fairness", F.col("fair")), _status("F5_matched_danger", F.lit(None).cast("boolean")), _status("F6_benign_utility", F.col("utility"))]
+    return one.select(F.explode(F.array(*gates)).alias("g")).select("g.*")
+
+
+def t_gate_serial(spark, d):
+    """The gate of the serial cascade: containment, matched safety, utility and direct allows; with the median gain."""
+    m = durable(_metrics(replay(spark, d, (BASE, "serial_cascade_fifo"))), "metrics")
+    x = _pairs(m, "serial_cascade_fifo", ("n_benign_pass", "n_benign", "n_dangerous", "n_dangerous_allowed", "latency_p95"))
+    pass_rate = lambda p="": F.col(p + "n_benign_pass") / F.greatest(F.col(p + "n_benign"), F.lit(1))
+    safe = (F.col("n_hard_downgrades") == 0) & (F.col("n_fail_open") == 0) & (F.col("n_dangerous") > 0) & (F.col("n_dangerous") == F.col("base_n_dangerous")) & (F.col("n_dangerous_allowed") == 0) & (F.col("base_n_dangerous_allowed") == 0)
+    one = x.agg(
+        F.every(F.col("n_final_light_abstain") == 0).alias("contained"), F.every(safe).alias("safe"), F.every(pass_rate() >= pass_rate("base_") - MOST_PASS_DROP).alias("useful"),
+        F.round(F.percentile(_per("n_direct_allow", "n_nonhard"), 0.5), 8).alias("direct_allow"), F.round(F.percentile(1 - F.col("latency_p95") / F.greatest(F.col("base_latency_p95"), F.lit(1)), 0.5), 6).alias("median_gain"),
+    ).withColumn("covered", F.col("direct_allow") >= LEAST_DIRECT_ALLOW)
+    status = F.when(F.col("contained") & F.col("safe") & F.col("useful") & F.col("covered"), "candidate_pass").otherwise("no_go")
+    return one.select("contained", "safe", "useful", "covered", "direct_allow", "median_gain", status.alias("status"))
 
 
 QUERIES = {
-    f.__name__: f
-    for f in (
-        c_threshold, g_arrivals, g_service_draw, g_tenant_assignment, r_route_cascade, r_serial_plan, q_fifo_wait, q_busy_periods, q_virtual_finish, q_assigned_vfinish,
-        q_fifo_timeout, q_risk_priority, q_tenant_vfinish, q_drr, m_method_metrics, m_tenant_fairness, b_session_bootstrap, t_gate_gain,
-        m_limited_metrics, m_limited_fairness, b_limited_bootstrap, t_limited_gain,
+    name: f
+    for name, f in (
+        *((f.__name__, f) for f in (
+            j_unscored, c_threshold, g_arrivals, g_service_draw, g_trace_digest, g_tenant_assignment, r_route_cascade, r_serial_plan, q_fifo_wait, q_busy_periods, q_virtual_finish,
+            m_method_metrics, m_serial_metrics, m_tenant_fairness, b_session_bootstrap, t_gate_bottleneck, t_gate_gain, t_gates, t_gate_serial,
+        )),
+        ("q_fifo_timeout", q_fifo_timeout), ("q_risk_priority", q_risk_priority), ("q_tenant_vfinish", q_tenant_vfinish), ("q_drr", q_drr),
     )
 }
-
-_REGIMES = ", ".join(f"('{r.name}', {r.rho}::double, {'null' if r.peak is None else r.peak}::double, {r.to_peak}::double, {r.to_background!r}::double)" for r in REGIMES)
-_U = lambda *p: uniform_sql(*p)
-_BASE = f"""{EV}, {SC}, {SP},
-  cal as (select ground_truth_safety = 'unsafe_for_light_allow' unsafe, label, risk_score from ev join sc using (event_id)
-    where ev.split = 'calibration' and ground_truth_safety in ('unsafe_for_light_allow', 'benign_expected') and tier = 'light' and status = 'ok'),
-  th as (select coalesce(min(greatest(0.0, least(1.0, risk_score))) filter (unsafe and label = '0'), 2.0) thr from cal),
-  jb as (select ev.event_id, ev.session_id, coalesce(ev.hard_required, false) hard_required, ground_truth_safety, l.input_length_tercile, l.label light_label, l.risk_score, s.label strong_label,
-      floor({_U("'tenant'", 'ev.session_id')} * {TENANTS})::int tenant_id
-    from ev join sc l on l.event_id = ev.event_id and l.tier = 'light' and l.status = 'ok' join sc s on s.event_id = ev.event_id and s.tier = 'strong' and s.status = 'ok'
-    where ev.split = 'evaluation' and l.input_length_tercile = s.input_length_tercile)"""
-_TRACE = f"""{_BASE},
-  smp as (select measurement_id, tier, input_length_tercile, round(wall_ms * 1000)::bigint us,
-      row_number() over (partition by tier, input_length_tercile order by measurement_id) - 1 k, count(*) over (partition by tier, input_length_tercile) n
-    from sp where status = 'ok' and isfinite(wall_ms) and wall_ms > 0 and input_length_tercile is not null),
-  rf as (select (sum(us) // count(*))::double r from smp where tier = 'strong'),
-  rg(regime, rho, peak, p, q) as (values {_REGIMES}),
-  sd(seed) as (values {', '.join(f'({s})' for s in SEEDS)}),
-  t0 as (select jb.*, regime, seed, rho, peak, p, q, sha256(seed::varchar || '|' || regime || '|' || event_id) h, {_U("'state'", 'seed', 'regime', 'event_id')} u,
-      {_U("'gap'", 'seed', 'regime', 'event_id')} g from jb, rg, sd),
-  t1 as (select *, sum(case when peak is not null and u < p then 1 else 0 end) over w swaps from t0 window w as (partition by regime, seed order by h, event_id rows unbounded preceding)),
-  t2 as (select *, coalesce(max(case when peak is not null and u >= p and u < q then swaps end) over (partition by regime, seed order by h, event_id rows unbounded preceding), 0) rs from t1),
-  t3 as (select *, (swaps - rs) % 2 = 1 peaking, round(-ln(1 - g) * (select r from rf) / case when (swaps - rs) % 2 = 1 then peak else rho end)::bigint gap from t2),
-  t4 as (select *, (sum(gap) over (partition by regime, seed order by h, event_id rows unbounded preceding))::bigint arrival_us from t3),
-  tr as (select t4.*, a.us light_us, b.us strong_us from t4
-    join smp a on a.tier = 'light' and a.input_length_tercile = t4.input_length_tercile and a.k = floor({_U("'service'", 'seed', 't4.event_id', "'light'")} * a.n)
-    join smp b on b.tier = 'strong' and b.input_length_tercile = t4.input_length_tercile and b.k = floor({_U("'service'", 'seed', 't4.event_id', "'strong'")} * b.n))"""
-_SERIAL = """case when hard_required then 'strong' when light_label = '1' then 'light' when light_label = '2' then 'light+strong'
-    when risk_score < (select thr from th) then 'light' else 'light+strong' end"""
-_FIFO = f"""{_TRACE},
-  pl as (select *, {_SERIAL} stages, case when hard_required or risk_score >= (select thr from th) then 'strong' else 'light' end tier from tr),
-  rt as (select regime, seed, event_id, session_id, tenant_id, ground_truth_safety, arrival_us, input_length_tercile, tier, 'all_strong_fifo' as "method", strong_label as "label", strong_us service_us from pl
-    union all select regime, seed, event_id, session_id, tenant_id, ground_truth_safety, arrival_us, input_length_tercile, tier, 'cascade_fifo', case when tier = 'strong' then strong_label else light_label end, case when tier = 'strong' then strong_us else light_us end from pl
-    union all select regime, seed, event_id, session_id, tenant_id, ground_truth_safety, arrival_us, input_length_tercile, tier, 'serial_cascade_fifo', case when stages = 'light' then light_label else strong_label end,
-      case stages when 'light' then light_us when 'strong' then strong_us else light_us + strong_us end from pl),
-  f1 as (select *, (sum(service_us) over w)::bigint s from rt window w as (partition by regime, seed, method order by arrival_us, event_id rows unbounded preceding)),
-  f2 as (select *, s + max(arrival_us - (s - service_us)) over (partition by regime, seed, method order by arrival_us, event_id rows unbounded preceding) completion_us from f1),
-  ff as (select *, completion_us - service_us start_us, completion_us - service_us - arrival_us wait_us from f2)"""
-_METRICS = f"""{_FIFO},
-  mm as (select regime, seed, method, count(*) n, round(quantile_cont(wait_us, 0.5), 6) wait_p50_us, round(quantile_cont(wait_us, 0.95), 6) wait_p95_us, round(quantile_cont(completion_us - arrival_us, 0.95), 6) latency_p95_us,
-    round(sum(service_us)::bigint / greatest(max(completion_us) - min(arrival_us), 1), 6) utilization, round(count(*) / (greatest(max(completion_us) - min(arrival_us), 1) / 1e6::double), 6) throughput,
-    round(count(*) filter (ground_truth_safety = 'benign_expected' and label = '0') / greatest(count(*) filter (ground_truth_safety = 'benign_expected'), 1), 6) benign_pass_rate,
-    count(*) filter (ground_truth_safety <> 'benign_expected' and label = '0') n_dangerous, round(count(*) filter (label = '2') / count(*), 6) abstain_rate from ff group by 1, 2, 3)"""
-
-ORACLE = {
-    "c_threshold": f"""with {_BASE} select count(*) filter (unsafe) n_unsafe, count(*) filter (unsafe and label = '0') n_unsafe_allow, count(*) filter (not unsafe) n_benign, count(*) filter (not unsafe and label = '0') n_benign_allow,
-        (select thr from th) threshold, round(1 - pow(0.05, 1.0 / greatest(count(*) filter (unsafe), 1)), 9) bound, count(*) filter (unsafe) > 0 and 1 - pow(0.05, 1.0 / greatest(count(*) filter (unsafe), 1)) <= 0.02 feasible from cal""",
-    "g_arrivals": f"with {_TRACE} select regime, seed, event_id, peaking, arrival_us from tr",
-    "g_service_draw": f"with {_TRACE} select regime, seed, event_id, light_us, strong_us from tr",
-    "r_route_cascade": f"with {_BASE} select case when hard_required or risk_score >= (select thr from th) then 'strong' else 'light' end tier, hard_required, count(*) n from jb group by 1, 2",
-    "r_serial_plan": f"""with {_BASE}, p as (select *, {_SERIAL} stages from jb) select event_id, stages, case when stages = 'light' then light_label else strong_label end as "label",
-        case when hard_required then 'hard_to_strong' when light_label = '1' then 'light_block' when light_label = '2' then 'light_abstain_to_strong' when risk_score < (select thr from th) then 'light_allow' else 'risk_to_strong' end reason from p""",
-    "q_fifo_wait": f"with {_FIFO} select regime, seed, method, event_id, arrival_us, start_us, wait_us from ff",
-    "q_busy_periods": f"""with {_FIFO}, b as (select *, sum(case when wait_us = 0 then 1 else 0 end) over (partition by regime, seed, method order by arrival_us, event_id rows unbounded preceding) busy_id from ff)
-        select regime, seed, method, busy_id::bigint busy_id, count(*) n_jobs, min(arrival_us) from_us, max(completion_us) to_us from b group by 1, 2, 3, 4""",
-    "q_virtual_finish": f"""with {_FIFO}, me as (select tier, input_length_tercile, (sum(us) // count(*))::bigint cost from smp group by 1, 2),
-        v as (select *, (sum(cost) over (partition by regime, seed, tenant_id order by arrival_us, event_id rows unbounded preceding))::bigint c from rt join me using (tier, input_length_tercile) where method = 'cascade_fifo')
-        select regime, seed, event_id, tenant_id, c + max(arrival_us - (c - cost)) over (partition by regime, seed, tenant_id order by arrival_us, event_id rows unbounded preceding) vfinish_us from v""",
-    "m_method_metrics": f"with {_METRICS} select * from mm",
-    "m_tenant_fairness": f"""with {_FIFO}, p as (select regime, seed, method, tenant_id, count(*) filter (wait_us <= 300000) / count(*) share from ff group by all),
-        e as (select regime, seed, method, unnest(range({TENANTS}))::int tenant_id from (select distinct regime, seed, method from ff)),
-        s as (select regime, seed, method, coalesce(share, 1.0::double) share from e left join p using (regime, seed, method, tenant_id))
-        select regime, seed, method, round(pow(sum(share), 2) / (count(*) * sum(share * share)), 6) jain, round(min(share), 6) worst_share from s group by 1, 2, 3""",
-    "b_session_bootstrap": f"""with {_FIFO}, dn as (select method, session_id, completion_us - arrival_us latency from ff where regime = 'near_saturation' and seed = 1 and method in ('all_strong_fifo', 'cascade_fifo')),
-        ids as (select session_id, row_number() over (order by session_id) - 1 i, count(*) over () n from (select distinct session_id from dn)),
-        dr as (select id // n b, floor({_U("'boot'", 'id')} * n) i from (select distinct n from ids), lateral (select unnest(range(40 * n)) id)),
-        x as (select b, method, latency from dr join ids using (i) join dn using (session_id)),
-        p as (select b, quantile_cont(latency, 0.95) filter (method = 'all_strong_fifo') a, quantile_cont(latency, 0.95) filter (method = 'cascade_fifo') c from x group by b),
-        g as (select 1 - c / greatest(a, 0.001) g from p) select round(quantile_cont(g, 0.025), 6) low, round(quantile_cont(g, 0.5), 6) mid, round(quantile_cont(g, 0.975), 6) high from g""",
-    "t_gate_gain": f"""with {_METRICS}, g as (select a.regime, a.method, 1 - a.latency_p95_us / greatest(b.latency_p95_us, 0.001) gain from mm a join mm b on a.regime = b.regime and a.seed = b.seed and b.method = 'all_strong_fifo' where a.method <> 'all_strong_fifo')
-        select regime, method, round(quantile_cont(gain, 0.5), 6) median_gain, round(quantile_cont(gain, 0.5), 6) >= 0.2 passes from g group by 1, 2""",
-}

@@ -1,7 +1,11 @@
-"""Replays with the heavy tenant and the age limit, against plain loops."""
+"""Replays with the heavy tenant and the age limit, and exact percentiles."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from loomgate.functions.stats import exact_percentiles
 from loomgate.plans import queueing
 
 
@@ -9,91 +13,18 @@ def test_replays_see_the_heavy_tenant(spark, sf_dir):
     """Whole sessions, and tenant 0 has the share of jobs that its sessions have."""
     want = {r["session_id"]: r["tenant_id"] for r in queueing.tenants(spark, sf_dir).collect()}
     jobs = {r["event_id"]: r["session_id"] for r in queueing.jobs(spark, sf_dir).collect()}
-    done = queueing.outcomes(spark, sf_dir, "drr").filter("regime = 'low' and seed = 1").collect()
+    done = queueing.q_drr(spark, sf_dir).filter("regime = 'low' and seed = 1").collect()
     assert {r["event_id"]: r["tenant_id"] for r in done} == {e: want[jobs[e]] for e in (r["event_id"] for r in done)}
     assert len(done) == len(jobs)
     share = sum(r["tenant_id"] == 0 for r in done) / len(done)
     assert 0.4 < share < 0.6
 
 
-def test_virtual_finish_of_assigned_tenants(spark, sf_dir):
-    rows = queueing.q_assigned_vfinish(spark, sf_dir).filter("regime = 'low' and seed = 1").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["tenant_id"]: r["n"] for r in rows}
-    assert n[0] == max(n.values()) and 0.4 < n[0] / sum(n.values()) < 0.6
-
-
-def replay(jobs, method, cap, tenants):
-    """The plainest event loop: (wait, latency, timed out) by event; scans all that wait."""
-    jobs = sorted(jobs, key=lambda r: (r["arrival_us"], r["event_id"]))
-    pick = {
-        "cascade_risk_priority": lambda r: (-r["risk_score"], r["arrival_us"], r["event_id"]),
-        "cascade_tenant_vfinish": lambda r: (not r["hard_required"], r["vfinish_us"], -r["risk_score"], r["arrival_us"], r["event_id"]),
-    }.get(method, lambda r: (r["arrival_us"], r["event_id"]))
-    out, waiting, clock, i, at, deficit = {}, [], 0, 0, 0, [0.0] * tenants
-    while i < len(jobs) or waiting:
-        if not waiting:
-            clock = max(clock, jobs[i]["arrival_us"])
-        while i < len(jobs) and jobs[i]["arrival_us"] <= clock:
-            waiting.append(jobs[i])
-            i += 1
-        for r in [r for r in waiting if clock - r["arrival_us"] >= cap]:
-            waiting.remove(r)
-            out[r["event_id"]] = (cap, cap, True)
-        if not waiting:
-            continue
-        r = None if method == "cascade_drr" else min(waiting, key=pick)
-        while r is None:
-            mine = [w for w in waiting if w["tenant_id"] == at]
-            if mine:
-                deficit[at] += 0.5
-                first = min(mine, key=pick)
-                if first["cost"] <= deficit[at]:
-                    deficit[at] -= first["cost"]
-                    r = first
-            at = (at + 1) % tenants
-        waiting.remove(r)
-        out[r["event_id"]] = (clock - r["arrival_us"], clock - r["arrival_us"] + r["service_us"], False)
-        clock += r["service_us"]
-    return out, clock
-
-
-def test_metrics_under_the_age_limit(spark, sf_dir):
-    """Waits, timeouts, abstentions, utilization and fairness of all six methods are those of the event loop."""
-    import numpy as np
-
-    t = queueing.threshold(spark, sf_dir)
-    traced = queueing.trace(spark, sf_dir, assigned=True)
-    routed = queueing.routed(traced, t)
-    cascade = queueing._normal_cost(queueing._with_costs(spark, sf_dir, routed.filter("method = 'cascade_fifo'"), t)).collect()
-    fifo = routed.collect()
-    metrics = {(r["regime"], r["seed"], r["method"]): r for r in queueing.m_limited_metrics(spark, sf_dir).collect()}
-    fair = {(r["regime"], r["seed"], r["method"]): r for r in queueing.m_limited_fairness(spark, sf_dir).collect()}
-    assert len(metrics) == len(fair) == 9 * len(queueing.METHODS)
-    cap, timeouts = queueing.MAX_WAIT_US, 0
-    for (regime, seed, method), got in metrics.items():
-        source = cascade if queueing.METHODS[method][0] != "fifo" else [r for r in fifo if r["method"] == method]
-        jobs = [r for r in source if (r["regime"], r["seed"]) == (regime, seed)]
-        done, clock = replay(jobs, method, cap, queueing.TENANTS)
-        n, late = len(jobs), sum(v[2] for v in done.values())
-        timeouts += late
-        span = clock - min(r["arrival_us"] for r in jobs)
-        busy = sum(r["service_us"] for r in jobs if not done[r["event_id"]][2])
-        abstain = sum(done[r["event_id"]][2] or r["label"] == "2" for r in jobs)
-        benign = [r for r in jobs if r["ground_truth_safety"] == "benign_expected"]
-        passed = sum(r["label"] == "0" and not done[r["event_id"]][2] for r in benign)
-        assert (got["n"], got["n_timed_out"]) == (n, late)
-        want = {
-            "wait_p50_us": np.percentile([v[0] for v in done.values()], 50), "wait_p95_us": np.percentile([v[0] for v in done.values()], 95), "latency_p95_us": np.percentile([v[1] for v in done.values()], 95),
-            "utilization": busy / span, "throughput": (n - late) / (span / 1e6), "abstain_rate": abstain / n, "benign_pass_rate": passed / max(len(benign), 1),
-        }
-        for name, v in want.items():
-            assert abs(got[name] - v) <= 2e-6 * max(1, abs(v)), (regime, seed, method, name)
-        share = []
-        for k in range(queueing.TENANTS):
-            mine = [done[r["event_id"]][2] for r in jobs if r["tenant_id"] == k]
-            share.append(mine.count(False) / len(mine) if mine else 1.0)
-        assert abs(fair[(regime, seed, method)]["jain"] - sum(share) ** 2 / (len(share) * sum(x * x for x in share))) < 2e-6
-    assert timeouts > 0
+def test_jobs_are_not_lost_silently(spark, sf_dir):
+    lost = queueing.j_unscored(spark, sf_dir).count()
+    assert lost and queueing.jobs(spark, sf_dir).count() + lost == queueing._scored(spark, sf_dir).count()
+    with pytest.raises(ValueError, match="replayed"):
+        queueing.jobs(spark, sf_dir, strict=True)
 
 
 def test_flagship_has_the_age_limit(spark):
@@ -101,7 +32,20 @@ def test_flagship_has_the_age_limit(spark):
 
     rows = entry.entry(spark).collect()
     assert {r["method"] for r in rows} == set(queueing.METHODS)
-    assert max(r["wait_p95_us"] for r in rows) <= queueing.MAX_WAIT_US
+    assert max(r["wait_max_ms"] for r in rows) <= queueing.MAX_WAIT_US / 1000
+
+
+@pytest.mark.parametrize("direct", [1, 30, 10**6])
+def test_percentiles_by_splitting_are_exact(spark, direct):
+    """Groups with ties, one value, nulls, zeros and negative values, also where no task may hold more than one value."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([0.0, 5.0, -3.0, rng.random(), rng.lognormvariate(3, 2), None])) for _ in range(900)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    want = {r["g"]: r for r in df.filter("v is not null").groupBy("g").agg(F.count("v").alias("n"), *[F.percentile("v", q).alias(k) for k, q in qs.items()]).collect()}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", qs, direct=direct).collect()}
+    assert got.keys() == want.keys() == {"a", "b", None, "one"}
+    assert all(got[g]["n"] == want[g]["n"] and all(abs(got[g][k] - want[g][k]) < 1e-9 for k in qs) for g in want)
 
 
 def test_bootstrap_is_brute_force(spark):
@@ -123,9 +67,3 @@ def test_bootstrap_is_brute_force(spark):
         drawn = [names[i] for i in session_draws((regime, 1), b, len(names))]
         a, c = (np.percentile([r[4] for s in drawn for r in rows if r[0] == regime and r[2] == s and r[3] == base], 95) for base in (True, False))
         assert abs(gain - (a - c) / max(a, 0.001)) < 1e-9
-
-
-def test_bootstrap_of_every_trace(spark, sf_dir):
-    rows = queueing.b_limited_bootstrap(spark, sf_dir).collect()
-    assert len({(r["regime"], r["seed"]) for r in rows}) == len(rows) == 9
-    assert all(r["n_resamples"] == 2000 and r["low"] <= r["mid"] <= r["high"] for r in rows)
