@@ -10,7 +10,9 @@ counter at each end collapses its keys.
 Before that, equal keys are collapsed inside each input partition, so a group
 that owns a third of all rows sends one key a partition.  The way back to the
 rows goes through those partial groups, of which each is smaller than a
-partition: no task ever gets a whole group.
+partition: no task ever gets a whole group.  Where the buckets that the driver
+can name are still too large, tasks go on splitting them in byte order, so a
+trie never holds more than its share of keys.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -143,11 +147,13 @@ def radix_bounds(keys: DataFrame, column: str = "canon", fit: int = 16_000, most
 
     Every round counts the keys of the oversized buckets by the byte after
     their shared prefix, with smallest and largest key; equal keys can't be
-    split and end their bucket.  ``fit`` grows so that there are at most about
-    ``most`` buckets, which bounds what the driver holds and sends out.
+    split and end their bucket.  Only keys between the smallest and the largest
+    of an oversized bucket are read again.  The driver holds at most about
+    ``most`` bounds; where that is too coarse for ``fit``, the splitting goes on
+    inside the tasks (``_tries``), by the order of the remaining bytes.
     """
 
-    def level(open_: list[tuple[bytes, int]]):
+    def level(open_: list[tuple[bytes, int]], ends: list[tuple[bytes, bytes]]):
         starts = [p for p, _ in open_]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +177,12 @@ def radix_bounds(keys: DataFrame, column: str = "canon", fit: int = 16_000, most
                             s[2] = c
             yield pd.DataFrame([(i, b, n, lo, hi) for (i, b), (n, lo, hi) in seen.items()], columns=["i", "b", "n", "lo", "hi"])
 
-        counted = keys.select(column).mapInPandas(run, "i int, b int, n bigint, lo binary, hi binary")
+        # neighbouring ranges become one until there are few enough for a filter; whatever else it lets through is left out above
+        ranges = sorted(ends)
+        while len(ranges) > 64:
+            ranges = [(a[0], b[1]) for a, b in zip(ranges[::2], ranges[1::2])] + ranges[len(ranges) // 2 * 2 :]
+        between = [F.col(column).between(F.lit(bytearray(lo)), F.lit(bytearray(hi))) for lo, hi in ranges]
+        counted = keys.select(column).filter(reduce(or_, between)).mapInPandas(run, "i int, b int, n bigint, lo binary, hi binary")
         return counted.groupBy("i", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
 
     whole = keys.agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
@@ -180,16 +191,17 @@ def radix_bounds(keys: DataFrame, column: str = "canon", fit: int = 16_000, most
     fit = max(fit, whole["n"] // most + 1)
     lo, hi = bytes(whole["lo"]), bytes(whole["hi"])
     done: list[tuple[bytes, int]] = []
-    open_ = [(lo[: _shared(lo, hi)], whole["n"])] if whole["n"] > fit and lo != hi else []
+    open_, ends = ([(lo[: _shared(lo, hi)], whole["n"])] if whole["n"] > fit and lo != hi else []), [(lo, hi)]
     if not open_:
         return [b""]
     while open_:
-        rows = level(open_)
-        nxt = []
+        rows = level(open_, ends)
+        nxt, ends = [], []
         for r in rows:
             lo, hi = bytes(r["lo"]), bytes(r["hi"])
             if r["n"] > fit and lo != hi:
                 nxt.append((lo[: _shared(lo, hi)], r["n"]))
+                ends.append((lo, hi))
             else:
                 done.append((lo, r["n"]))
         open_ = sorted(nxt)
@@ -241,17 +253,36 @@ class Trie:
                     yield got
 
 
-def _tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial groups -> smallest id of the whole group. Only groups of several partial ones, or that have several rows, matter."""
-    tries: dict[int, Trie] = {}
-    for pdf in batches:
-        for bucket, canon, least, gid in zip(pdf["bucket"], pdf["canon"], pdf["least"], pdf["gid"]):
-            tries.setdefault(bucket, Trie()).add(bytes(canon), least, gid)
-    out = [(gid, end[1]) for trie in tries.values() for end in trie.ends() for gid in end[2]]
-    yield pd.DataFrame(out, columns=["gid", "keep"])
+def _tries(fit: int | None):
+    """Partial groups -> smallest id of the whole group.
+
+    With ``fit`` the rows come in the order of bucket and bytes, and a bucket of
+    more keys is split at the next other key whenever its trie holds ``fit``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tries: dict[int, Trie] = {}
+        held, last = 0, None
+
+        def drained() -> pd.DataFrame:
+            out = [(gid, end[1]) for trie in tries.values() for end in trie.ends() for gid in end[2]]
+            tries.clear()
+            return pd.DataFrame(out, columns=["gid", "keep"])
+
+        for pdf in batches:
+            for bucket, canon, least, gid in zip(pdf["bucket"], pdf["canon"], pdf["least"], pdf["gid"]):
+                key = bytes(canon)
+                if fit is not None and held >= fit and (bucket, key) != last:
+                    yield drained()
+                    held = 0
+                tries.setdefault(bucket, Trie()).add(key, least, gid)
+                held, last = held + 1, (bucket, key)
+        yield drained()
+
+    return run
 
 
-def layout_copies(df: DataFrame, key: str = "event_id", prompt: str = "rendered_prompt", arguments: str = "tool_arguments", fit: int = 16_000) -> DataFrame:
+def layout_copies(df: DataFrame, key: str = "event_id", prompt: str = "rendered_prompt", arguments: str = "tool_arguments", fit: int = 16_000, most: int = 1 << 15) -> DataFrame:
     """``keep, member`` for every distinct ``key``: the smallest key of its set of equal records, as a table.
 
     A record without copies keeps itself.  Rows with a null key are left out;
@@ -261,7 +292,7 @@ def layout_copies(df: DataFrame, key: str = "event_id", prompt: str = "rendered_
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(prompt).alias("prompt"), F.col(arguments).alias("args"))
     partial = durable(rows.mapInPandas(_partial, "gid bigint, id string, canon binary, least string"), "partial")
     entries = partial.filter(F.col("canon").isNotNull()).select("gid", "canon", "least")
-    bounds = radix_bounds(entries, fit=fit)
+    bounds = radix_bounds(entries, fit=fit, most=most)
     shared = df.sparkSession.sparkContext.broadcast(bounds)  # at most about 2 ** 16 keys
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +301,10 @@ def layout_copies(df: DataFrame, key: str = "event_id", prompt: str = "rendered_
 
     tasks = max(len(bounds), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = entries.mapInPandas(place, "gid bigint, canon binary, least string, bucket int").repartition(tasks, "bucket")
-    kept = placed.mapInPandas(_tries, "gid bigint, keep string")
+    coarse = entries.count() // most + 1 > fit  # the bounds could not be made fine enough
+    if coarse:
+        placed = placed.sortWithinPartitions("bucket", "canon")
+    kept = placed.mapInPandas(_tries(fit if coarse else None), "gid bigint, keep string")
     members = partial.filter(F.col("id").isNotNull()).select("gid", "id")
     out = durable(members.join(kept, "gid").select("keep", F.col("id").alias("member")).distinct(), "copies")
     discard(partial)

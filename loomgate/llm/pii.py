@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomgate.session import durable
 
-#: Words of the roster sent to the scan; larger rosters are refused.
+#: Different given or family names sent to the scan; rosters with more are refused.
 MAX_ROSTER_WORDS = 1_000_000
 
 # Words that end or begin a postal street line.
@@ -91,6 +91,27 @@ def keyword_automaton(families: list[str]):
     return found
 
 
+def _back(low: str, end: int, blanks: int) -> int:
+    """Start of the stretch before ``end`` that holds so many blanks; words are never cut."""
+    at = end
+    for _ in range(blanks):
+        at = low.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at
+
+
+def _local_part(low: str, floor: int, end: int) -> re.Match | None:
+    """The local part of an address that ends at ``end``, whole however long it is."""
+    width = 80
+    while True:
+        lo = max(floor, end - width)
+        m = _LOCAL.search(low, lo, end)
+        if not m or m.start() > lo + 5 or lo == floor:  # a dot, also as a word, may have been cut
+            return m
+        width *= 4
+
+
 def _email(low: str, at: int, stop: int, taken: int) -> tuple[int, int] | None:
     """Address around the sign or word for @ at ``at``; also with blanks round it, or "at" and "dot" as words."""
     if low[at] == " ":
@@ -99,7 +120,7 @@ def _email(low: str, at: int, stop: int, taken: int) -> tuple[int, int] | None:
         after = _DOMAIN.match(low, at - 1 if at and low[at - 1] == " " else at)
     if not after:
         return None
-    local = _LOCAL.search(low, max(taken, after.start() - 80), after.start())
+    local = _local_part(low, taken, after.start())
     if not local:
         return None
     start = local.start()
@@ -113,14 +134,14 @@ def _address(low: str, kind: str, start: int, stop: int) -> tuple[int, int] | No
     if kind == "end":
         if stop < len(low) and (low[stop].isalnum() or low[stop] == "_"):
             return None
-        before = _BEFORE_END.search(low, max(0, start - 70), start)
+        before = _BEFORE_END.search(low, _back(low, start, 7), start)
         return (before.start(), stop) if before else None
     if kind == "tail":
-        after, before = _HOUSE.match(low, stop - 1), _BEFORE_TAIL.search(low, max(0, start - 60), start)
+        after, before = _HOUSE.match(low, stop - 1), _BEFORE_TAIL.search(low, _back(low, start, 5), start)
         return (before.start(), after.end()) if after and before else None
     if start and low[start - 1].isalnum():
         return None
-    after, before = _STREET.match(low, stop - 1), _BEFORE_HEAD.search(low, max(0, start - 30), start)
+    after, before = _STREET.match(low, stop - 1), _BEFORE_HEAD.search(low, _back(low, start, 5), start)
     if not after or not (before or after.group(1)):
         return None
     return (before.start() if before else start, after.end())
@@ -187,7 +208,7 @@ def scan(text: str, given: frozenset, automaton) -> list[tuple]:
         before, after = masked[start - 1 : start], masked[stop : stop + 1]
         if before == "'" and start > 1 and masked[start - 2].isalnum() or before.isalnum() or before in ("_", "@", "+", "-", ".") or after.isalnum() or after in ("_", "@", "+", "-"):
             continue
-        m = _GIVEN_BEFORE.search(masked, max(0, start - 40), start)
+        m = _GIVEN_BEFORE.search(masked, min(max(0, start - 40), _back(masked, start, 4)), start)
         word = m.group(1) if m else ""
         if word in given or word.endswith("."):
             first, last = m.start(1), stop
@@ -213,11 +234,15 @@ def scan(text: str, given: frozenset, automaton) -> list[tuple]:
 
 
 def roster_words(roster: DataFrame) -> tuple[frozenset, list[str]]:
-    """Lower-case given names and family names of the seed persons."""
-    if roster.count() > MAX_ROSTER_WORDS:
-        raise ValueError("the roster is too large to be sent to the scan")
-    rows = [r for r in roster.select(F.lower(F.trim("given_name")), F.lower(F.trim("family_name"))).distinct().collect()]
-    return frozenset(g for g, _ in rows if g), sorted({f.replace("’", "'") for _, f in rows if f})
+    """Lower-case given names and family names of the seed persons; the size that counts is that of distinct names, not of persons."""
+    out = []
+    for c in ("given_name", "family_name"):
+        names = roster.select(F.lower(F.trim(c)).alias("w")).filter(F.length("w") > 0).distinct()
+        rows = names.limit(MAX_ROSTER_WORDS + 1).collect()
+        if len(rows) > MAX_ROSTER_WORDS:
+            raise ValueError("the roster has too many different names to be sent to the scan")
+        out.append([r[0] for r in rows])
+    return frozenset(out[0]), sorted({f.replace("’", "'") for f in out[1]})
 
 
 def candidates(documents: DataFrame, roster: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

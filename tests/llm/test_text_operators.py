@@ -46,8 +46,8 @@ def test_copies_with_a_hot_group(spark):
     for e, p, a, _, _ in rows:
         if e:
             want.setdefault(canonical(p, a), set()).add(e)
-    for fit in (7, 10_000):
-        got = {tuple(r) for r in layout_copies(spark.createDataFrame(rows + rows[:40], RECORD).repartition(5), fit=fit).collect()}
+    for fit, most in ((7, 1 << 15), (10_000, 1 << 15), (5, 3)):  # the last: more keys than the named buckets may hold
+        got = {tuple(r) for r in layout_copies(spark.createDataFrame(rows + rows[:40], RECORD).repartition(5), fit=fit, most=most).collect()}
         assert got == {(min(g), e) for g in want.values() for e in g}
     assert layout_copies(spark.createDataFrame([], RECORD)).collect() == []
 
@@ -173,6 +173,15 @@ def test_scan_positions():
     assert starts == ["213,", "Apt", "Heronweg", "calle"]
 
 
+def test_long_tokens_are_found_whole():
+    """A local part or street name of any length is one span from its first character on."""
+    auto = keyword_automaton(["okonwe"])
+    local, street = "a.b" * 300, "Long" * 60
+    text = f"mail {local}@mail.example.org now. Lives at Apt 7, 12 {street} Road, there."
+    got = {k: text[s:e] for k, s, e, *_ in scan(text, frozenset(), auto)}
+    assert got["email"] == f"{local}@mail.example.org" and got["street_address"].startswith(f"Apt 7, 12 {street} Road")
+
+
 def corpus():
     rng = random.Random(5)
     rows = []
