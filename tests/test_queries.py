@@ -9,8 +9,8 @@ import __spark_entry__ as entry
 QUERIES, ORACLE = {}, {}
 for _m in entry._MODULES:
     _mod = importlib.import_module(_m)
-    QUERIES.update(_mod.QUERIES)
-    ORACLE.update(_mod.ORACLE)
+    QUERIES.update(getattr(_mod, "QUERIES", {}))
+    ORACLE.update(getattr(_mod, "ORACLE", {}))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
