@@ -62,6 +62,19 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str,
     return wide.select(*keys, "n", *[value_at(name, q).alias(name) for name, q in qs.items()])
 
 
+def grouped_percentiles(df: DataFrame, keys: list[str], aggregates: list[Column], values: dict[str, dict[str, float]]) -> DataFrame:
+    """``df.groupBy(keys).agg(aggregates)`` with percentiles ``{column: {name: q}}`` beside; one aggregation up to DIRECT_ROWS rows."""
+    if df.count() <= DIRECT_ROWS:
+        ps = [F.percentile(v, q).alias(name) for v, qs in values.items() for name, q in qs.items()]
+        return df.groupBy(*keys).agg(*aggregates, *ps)
+    out = df.groupBy(*keys).agg(*aggregates)
+    for v, qs in values.items():
+        ps = exact_percentiles(df, keys, v, qs).drop("n")
+        named = ps.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *qs)
+        out = out.join(named, _same(out, named, keys), "left").drop(*[f"_k_{k}" for k in keys])
+    return out
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> list[Column]:
     return [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys]
 

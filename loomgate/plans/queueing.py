@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomgate.functions.stats import exact_percentiles, jain
+from loomgate.functions.stats import grouped_percentiles, jain
 from loomgate.operators.bootstrap import session_bootstrap
 from loomgate.operators.keyed import lookup_join
 from loomgate.operators.queues import simulate, virtual_finish
@@ -134,6 +134,7 @@ def replay(spark, d, methods: tuple[str, ...] = tuple(METHODS)):
     own = F.create_map(*[x for r in sorted(used) for x in (F.lit(r), F.array(*[F.lit(m) for m in methods if METHODS[m][1] == r]))])
     queue = grouped.withColumn("method", F.explode(own[F.col("route")])).withColumn("sequence", F.col("event_id"))
     done = simulate(queue, RUN, {m: METHODS[m][0] for m in methods}, MAX_WAIT_US, TENANTS, max(1, int(mean * QUANTUM)))
+    done = done.withColumn("latency_us", F.col("completion_us") - F.col("arrival_us"))
     return durable(done.drop("group_id", "sequence", "route"), "outcomes")
 
 
@@ -219,22 +220,21 @@ _per = lambda a, n: F.col(a) / F.greatest(F.col(n), F.lit(1))
 
 def _by_tenant(done):
     """Every tenant of every run, those without jobs too: ``n, n_completed, share, latency_p95``."""
-    latency = done.withColumn("latency_us", F.col("completion_us") - F.col("arrival_us"))
-    per = latency.groupBy(*RUN, "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("timed_out")).alias("n_completed"))
-    p95 = exact_percentiles(latency, [*RUN, "tenant_id"], "latency_us", {"latency_p95": 0.95}).drop("n")
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(~F.col("timed_out")).alias("n_completed")]
+    per = grouped_percentiles(done, [*RUN, "tenant_id"], counts, {"latency_us": {"latency_p95": 0.95}})
     every = done.select(*RUN).distinct().select(*RUN, F.explode(F.sequence(F.lit(0), F.lit(TENANTS - 1))).alias("tenant_id"))
-    out = every.join(per, [*RUN, "tenant_id"], "left").join(p95, [*RUN, "tenant_id"], "left")
+    out = every.join(per, [*RUN, "tenant_id"], "left")
     out = out.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).withColumn("n_completed", F.coalesce("n_completed", F.lit(0).cast("bigint")))
     return out.withColumn("share", F.when(F.col("n") > 0, F.col("n_completed") / F.col("n")).otherwise(1.0))
 
 
-def _counts(done):
-    """Wide aggregate of the outcomes of each run; a job that timed out is abstained from and took no service."""
+def _counts():
+    """Aggregates over the outcomes of a run; a job that timed out is abstained from and took no service."""
     made, late = decision(F.col("label"), F.col("timed_out")), F.col("timed_out")
     benign, hard = F.col("ground_truth_safety") == "benign_expected", F.col("hard_required")
     unsafe = ~F.coalesce(benign, F.lit(False))
     stage = lambda name: F.sum(F.when(~late & F.contains("stages", F.lit(name)), 1).otherwise(0))
-    return done.groupBy(*RUN).agg(
+    return [
         F.count(F.lit(1)).alias("n"), F.count_if(~late).alias("n_completed"), F.max("wait_us").alias("wait_max"), F.sum(F.when(late, 0).otherwise(F.col("service_us"))).alias("busy_us"),
         F.greatest(F.coalesce(F.max(F.when(~late, F.col("completion_us"))), F.min("arrival_us")) - F.min("arrival_us"), F.lit(1)).alias("span_us"),
         stage("light").alias("n_light_stages"), stage("strong").alias("n_strong_stages"), F.count_if(made == "abstain").alias("n_abstain"),
@@ -244,16 +244,15 @@ def _counts(done):
         F.count_if(~hard).alias("n_nonhard"), F.count_if(~hard & (made == "allow")).alias("n_nonhard_allowed"), F.count_if(~hard & unsafe & (made == "allow")).alias("n_nonhard_unsafe_allowed"),
         F.count_if(late).alias("n_starved"), F.count_if(~late & (F.col("reason") == "light_abstain_to_strong")).alias("n_abstain_escalations"),
         F.count_if(~late & (F.col("label") == "2") & (F.col("stages") == "light")).alias("n_final_light_abstain"), F.count_if(~late & ~hard & (F.col("reason") == "light_allow")).alias("n_direct_allow"),
-    )
+    ]
 
 
 def _metrics(done):
-    latency = done.withColumn("latency_us", F.col("completion_us") - F.col("arrival_us"))
+    """One row a run: counts, percentiles of wait and latency, and fairness over the tenants."""
     ps = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    wait = exact_percentiles(done, RUN, "wait_us", {f"wait_{k}": q for k, q in ps.items()}).drop("n")
-    slow = exact_percentiles(latency, RUN, "latency_us", {f"latency_{k}": q for k, q in ps.items()}).drop("n")
+    wide = grouped_percentiles(done, RUN, _counts(), {f"{c}_us": {f"{c}_{k}": q for k, q in ps.items()} for c in ("wait", "latency")})
     fair = _by_tenant(done).groupBy(*RUN).agg(jain(F.col("share")).alias("jain"), F.max("latency_p95").alias("worst"), F.max(1 - F.col("share")).alias("deficit"))
-    return _counts(done).join(wait, RUN).join(slow, RUN).join(fair, RUN)  # one row a run
+    return wide.join(fair, RUN)
 
 
 def m_method_metrics(spark, d):
@@ -285,7 +284,7 @@ def m_tenant_fairness(spark, d):
 def b_session_bootstrap(spark, d):
     """Per trace: 95 % interval of what virtual finish gains on all-strong in the 95th percentile of latency, over resampled sessions."""
     done = replay(spark, d, (BASE, CANDIDATE))
-    rows = done.select(*KEYS, "session_id", (F.col("method") == BASE).alias("base"), (F.col("completion_us") - F.col("arrival_us")).alias("latency"))
+    rows = done.select(*KEYS, "session_id", (F.col("method") == BASE).alias("base"), F.col("latency_us").alias("latency"))
     gains = session_bootstrap(rows, KEYS, RESAMPLES)
     points = [F.round(F.percentile("gain", q), 6).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))]
     return gains.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_resamples"), *points)

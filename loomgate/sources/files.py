@@ -66,6 +66,24 @@ def read_archive(spark: SparkSession, path: str, member: str = ".*") -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, text string")
 
 
+def read_strata(spark: SparkSession, path: str, member: str, element: T.DataType, expected: int) -> DataFrame:
+    """``read_archive_rows`` of members named by ``member``, with ``stratum`` from its first group; fails unless there are ``expected`` of them."""
+    docs = read_archive(spark, path, member).withColumn("stratum", F.regexp_extract("member", member, 1))
+    found = sorted(r[0] for r in docs.select("stratum").distinct().collect())  # one a member
+    if len(found) != expected:
+        raise ValueError(f"{expected} strata expected, found {found}")
+    rows = docs.select("member", "stratum", F.posexplode(F.from_json("text", T.ArrayType(element))).alias("row_index", "row"))
+    return rows.select("member", "stratum", "row_index", "row.*")
+
+
+def read_text(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(text, SHA-256) of one policy or template file; it is small and goes into plans as a literal."""
+    rows = spark.read.format("binaryFile").load(path).select(F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} is not one file")
+    return rows[0]["text"], rows[0]["sha"]
+
+
 def read_archive_rows(spark: SparkSession, path: str, member: str, element: T.DataType) -> DataFrame:
     """Elements of JSON arrays in archive members, with ``member`` and ``row_index`` from 0."""
     docs = read_archive(spark, path, member)

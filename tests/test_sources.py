@@ -72,3 +72,35 @@ def test_digests(spark, tmp_path):
 def test_jsonl_sink(spark, tmp_path):
     S.write_jsonl(spark.range(3).withColumnRenamed("id", "n"), str(tmp_path / "o"), ["n"])
     assert spark.read.json(str(tmp_path / "o")).count() == 3
+
+
+def test_strata_and_text(spark, tmp_path):
+    """Every stratum must be there; a policy comes with its digest."""
+    import json
+
+    p = tmp_path / "a.zip"
+    with zipfile.ZipFile(p, "w") as z:
+        for kind in ("BO_MA", "PD_SA"):
+            z.writestr(f"data/query_{kind}.json", json.dumps([{"event_id": kind, "n": 1}]))
+        z.writestr("data/other.json", "[]")
+    pattern = r"query_([A-Z]{2}_[A-Z]{2})\.json$"
+    assert {(r["stratum"], r["row_index"], r["event_id"]) for r in S.read_strata(spark, str(p), pattern, ROW, 2).collect()} == {("BO_MA", 0, "BO_MA"), ("PD_SA", 0, "PD_SA")}
+    with pytest.raises(ValueError, match="8 strata"):
+        S.read_strata(spark, str(p), pattern, ROW, 8)
+    t = tmp_path / "policy.txt"
+    t.write_bytes("Sei höflich.\n".encode())
+    assert S.read_text(spark, str(t)) == ("Sei höflich.\n", hashlib.sha256(t.read_bytes()).hexdigest())
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    import json
+
+    from loomgate.__main__ import main
+
+    assert main(["list"]) == 0 and "t_gates" in capsys.readouterr().out
+    assert main(["query", "nonsense", sf_dir]) == 2
+    assert main(["query", "a_counts_by_source_split", sf_dir]) == 0
+    assert all("n_hard" in json.loads(x) for x in capsys.readouterr().out.splitlines())
+    assert main(["query", "w_terciles", sf_dir, "--out", str(tmp_path / "t")]) == 0 and spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert main(["audit", sf_dir, "--out", str(tmp_path / "audit.json")]) == 1
+    assert json.loads((tmp_path / "audit.json").read_text())["status"] == "fail"
