@@ -260,6 +260,28 @@ x as (select *, (base + (total * k) // available + {start_of('quota')}) // {UNIT
 y as (select *, count(*) filter (chosen) over (partition by target_id) got, row_number() over (partition by target_id, chosen order by k) nth from x),
 sa as (select target_id, event_id from y where chosen or nth <= n_floor - got)"""
 
+_BLOCKS = ("policy", "state_summary", "user_intent", "proposed_action")
+_STRIP = "regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_LINE = "'(?m)^[ \\t]*(\\w[\\w \\t-]*?)[ \\t]*='"
+# JSON as the sorted list of its leaves with their paths, so that fields may stand in any order and array elements may not
+_LAYOUT = f"""
+with r as (select distinct on (event_id) event_id e, lower(rendered_prompt) p, lower(tool_arguments) a from materialized_record where event_id is not null),
+b as (
+  select e, p, {', '.join(f"regexp_extract(p, '<{x}>(.*?)</{x}>', 1, 's') b{i}" for i, x in enumerate(_BLOCKS))},
+    {"regexp_replace(" * len(_BLOCKS)}p{"".join(f", '<{x}>.*?</{x}>', ' ', 's')" for x in _BLOCKS)} loose from r),
+l as (select e, unnest(regexp_extract_all(b3, {_LINE}, 1)) n, unnest(regexp_split_to_array(b3, {_LINE})[2:]) v from b),
+v as (select e, '' n, a v from r where a is not null union all select e, {_STRIP.format('n')}, v from l),
+t as materialized (select *, row_number() over () id, ltrim(v)[1] in ('{{', '[') and json_valid(v) is_json from v),
+j as (
+  select id, array_to_string(list_sort(list({_STRIP.format("regexp_replace(fullkey, '[^\\p{L}\\p{N}.\\[\\]$]', '', 'g')").replace("[^\\p{L}\\p{N}]+", "[^\\p{L}\\p{N}.\\[\\]$]+")} || ':' || coalesce({_STRIP.format('atom::varchar')}, type))), ',') c
+  from (select id, v from t where is_json) x, lateral (select fullkey, atom, type from json_tree(x.v)) group by id),
+c as (select e, n, case when is_json then c else {_STRIP.format('v')} end c from t left join j using (id)),
+k as (select e, list_sort(list(n || '=' || c)) ls from c group by e),
+g as (
+  select r.e, md5(concat_ws('|', case when r.p is null then '~' end, case when r.a is null then '~a' end, array_to_string(coalesce(ls, []), ';'), {', '.join(f"coalesce({_STRIP.format(f'b{i}')}, '')" for i in range(3))}, coalesce({_STRIP.format('loose')}, ''))) h
+  from r join b using (e) left join k on k.e = r.e),
+m as (select h, min(e) keep, count(*) n from g group by h)"""
+
 # a group of fewer than K readings is never compressed, so an estimate is the cell of the reading of its rank
 _READ = f"""
 with o as (
@@ -274,6 +296,8 @@ _CELL = f"greatest(1, least({HALF - 1}, floor(log2(greatest(abs(x), 1e-300)) * {
 _CELL_VALUE = f"case when x = 0 then 0.0::double else sign(x) * pow(2.0::double, ({_CELL} - {HALF // 2} + 0.5) / {PER_OCTAVE}) end"
 
 ORACLE = {
+    "p3_found": _LAYOUT + " select keep keep_event_id, e copy_event_id from g join m using (h) where e <> keep",
+    "p3_copy_counts": _LAYOUT + " select keep keep_event_id, n n_copies from m",
     "p6_percentiles": f"""{_READ},
 g as (select tier, input_length_tercile, metric, list_sort(list(v)) vs, count(*) n from v group by 1, 2, 3),
 x as (select tier, input_length_tercile, metric, n, q, vs[greatest(1, ceil(q * n))::bigint] x from g, q)
