@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def get_session(cpus: int | None = None, app: str = "loomgate") -> SparkSession:
@@ -50,13 +51,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+def _app_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; it is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark)}/loomgate-{app}"
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has been stopped: the folder bears the application's name
+        pass
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage, survives lost executors and is computed once.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/loomgate/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomgate_path = path
@@ -67,6 +86,4 @@ def discard(df: DataFrame) -> None:
     """Delete the table behind a ``durable`` frame that is no longer read."""
     path = getattr(df, "_loomgate_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, path)
