@@ -33,8 +33,9 @@ BITS_A_PIECE = 32
 MOST_BITS = 1 << 29
 #: Words whose hashes a scan keeps.
 KEPT_WORDS = 500_000
-#: Items that a verifying task keeps prepared.
+#: Items and stretches that a verifying task keeps prepared.
 KEPT_ITEMS = 1_000
+KEPT_RUNS = 4_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,6 +150,16 @@ def stretches(hits: list[int], before: int, after: int, n: int) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
+class Stretch:
+    """A stretch of a document, with the places of its pieces."""
+
+    def __init__(self, words: list[str], piece: int) -> None:
+        self.words = words
+        self.places: dict[tuple, list[int]] = {}
+        for p in range(len(words) - piece + 1):
+            self.places.setdefault(tuple(words[p : p + piece]), []).append(p)
+
+
 class Item:
     """A held-out item prepared for verification."""
 
@@ -170,19 +181,16 @@ class Item:
                 got[self.number[w]] = got.get(self.number[w], 0) | 1 << i
         return got
 
-    def least_edits(self, words: list[str]) -> int:
-        """Least edits, up to errors + 1, of any window against any stretch of ``words``; short items count whole."""
-        n, window, piece, worst = len(self.words), self.window, self.piece, self.errors + 1
+    def least_edits(self, stretch: Stretch) -> int:
+        """Least edits, up to errors + 1, of any window against any part of a stretch; short items count whole."""
+        n, window, piece, worst, words = len(self.words), self.window, self.piece, self.errors + 1, stretch.words
         if n < window:
             return 0 if any(words[i : i + n] == self.words for i in range(len(words) - n + 1)) else worst
-        hits = []
-        for p in range(len(words) - piece + 1):
-            at = self.offsets.get(tuple(words[p : p + piece]))
-            if at:
-                if tuple(words[p : p + window]) in self.windows:
-                    return 0
-                hits.append((p, at))
-        best, ids, tried = worst, [self.number.get(w, -1) for w in words], set()
+        shared = self.offsets.keys() & stretch.places.keys()
+        hits = [(p, self.offsets[x]) for x in shared for p in stretch.places[x]]
+        if any(tuple(words[p : p + window]) in self.windows for p, _ in hits):
+            return 0
+        best, ids, tried = worst, [self.number.get(w, -1) for w in words] if hits else [], set()
         for p, at in hits:
             for o in at:
                 for j in range(self.errors + 1):
@@ -263,18 +271,24 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[int, Item] = {}
+        runs: dict[int, Stretch] = {}
         for pdf in batches:
             out = []
-            for doc, words, no, item, t in zip(pdf["doc"], pdf["words"], pdf["no"], pdf["item"], pdf["text"]):
+            for doc, run, words, no, item, t in zip(pdf["doc"], pdf["run"], pdf["words"], pdf["no"], pdf["item"], pdf["text"]):
                 it = ready.get(no)
                 if it is None:
                     if len(ready) > KEPT_ITEMS:
                         ready.clear()
                     it = ready[no] = Item(WORD.findall(t.lower()), window, errors)
-                d = it.least_edits(words.split(" "))
+                stretch = runs.get(run)
+                if stretch is None:
+                    if len(runs) > KEPT_RUNS:
+                        runs.clear()
+                    stretch = runs[run] = Stretch(words.split(" "), piece)
+                d = it.least_edits(stretch)
                 if d <= errors:
                     out.append((doc, item, d, min(len(it.words), window)))
             yield pd.DataFrame(out, columns=[key, item_key, "edits", "n_words"])
 
-    out = both.select("doc", "words", "no", "item", "text").mapInPandas(verify, f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, n_words int")
+    out = both.select("doc", "run", "words", "no", "item", "text").mapInPandas(verify, f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, n_words int")
     return out.groupBy(key, item_key).agg(F.min("edits").alias("edits"), F.max("n_words").alias("n_words"))
