@@ -2,14 +2,15 @@
 
 One scan lists what could be an identifier together with the words around it.
 Shapes that leave no doubt (email addresses, house numbers with a street) are
-taken as they are.  Numbers and names are decided by bootstrapping: seed
-entities (persons of a roster; numbers whose shape is only used for phones or
-for identity numbers) induce lexical patterns, the words before or after a
+taken as they are.  All others are decided by bootstrapping: seed entities
+(persons of a roster; numbers whose shape is only used for phones or for
+identity numbers; house numbers with a known street word) induce lexical patterns, the words before or after a
 mention.  Spark scores the graph of patterns and instances: a pattern is worth
 the share of seeds among its mentions, an unseen instance the worth of its
 patterns, and instances that score high are seeds of the next round.  Patterns
 of high confidence then decide the mentions whose shape is ambiguous, such as
-ten plain digits, and find names the roster does not have.
+ten plain digits, and find names the roster does not have, numbers of shapes and
+streets of words that no list names.
 
 The scan is per document; pattern and word statistics are aggregations over
 all candidates of the corpus.
@@ -62,6 +63,10 @@ _NUMBER = re.compile(
 )
 #: Runs of six or more digits, where a number is looked for.
 _DIGITS = re.compile(r"\d(?:[ ().\-/]{0,2}\d){5,}")
+#: A number with a few letters before or after it, of whatever shape.
+_OPEN_NUMBER = re.compile(r"(?<![\w.,#/@+-])(?:\+|\()?[A-Za-z]{0,3}\d(?:[ ().\-/]{0,2}\d){5,17}[A-Za-z]?(?![\w@]|[-/.:,]\d)")
+#: A house number before one to three capitalised words.
+_OPEN_STREET = re.compile(r"(?<![\w#.,/@+-])\d{1,4}[a-z]?,? (?:[A-Z][^\W\d_]+ ){0,2}([A-Z][^\W\d_]+)(?![\w@-])")
 _BLANKS = str.maketrans({c: " " for c in ";\"'="})
 _TRIM = "._,:()[]{}<>#*-–!?…"
 _CAPITAL = r"[A-Z](?:['’][A-Z])?[^\W\d_A-Z]+(?:['’-][A-Z]?[^\W\d_]+)*"
@@ -77,6 +82,11 @@ def lower_same_length(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _shape(number: str) -> str:
+    """Digits as 9, letters as a; what is between them stays."""
+    return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", number))
+
+
 def keyword_automaton(families: list[str]):
     """Finds in one pass all places where an address, an email or a known name may be."""
     import ahocorasick
@@ -184,7 +194,7 @@ def scan(text: str, given: frozenset, automaton) -> list[tuple]:
     """
     low = lower_same_length(text).replace("’", "'")
     out: list[tuple] = []
-    masked, taken, families = low, 0, []
+    masked, taken, families, streets = low, 0, [], []
     for end, (kind, size) in automaton.iter(low):
         start = end + 1 - size
         if kind == "family":
@@ -198,11 +208,21 @@ def scan(text: str, given: frozenset, automaton) -> list[tuple]:
         else:
             span = _address(low, kind, start, end + 1)
             if span:
-                out.append(("street_address", span[0], _TOWN.match(text, span[1]).end(), None, None, None, None, None, None))
+                end = _TOWN.match(text, span[1]).end()
+                streets.append((span[0], end))
+                out.append(("street_address", span[0], end, None, None, *_context(low, span[0], end)))
     for run in _DIGITS.finditer(text):
+        known = False
         for m in _NUMBER.finditer(text, max(0, run.start() - 2), run.end() + 3):
+            known = True
             if masked[m.start()] != "_":
                 out.append((m.lastgroup, m.start(), m.end(), None, None, *_context(masked, m.start(), m.end())))
+        m = None if known else _OPEN_NUMBER.search(text, max(0, run.start() - 4), run.end() + 2)
+        if m and m.end() > run.start() and masked[m.start()] != "_":
+            out.append(("number_like", m.start(), m.end(), _shape(m.group()), None, *_context(masked, m.start(), m.end())))
+    for m in _OPEN_STREET.finditer(text):
+        if not any(a < m.end() and m.start() < b for a, b in streets):
+            out.append(("street_like", m.start(), m.end(), m.group(1).lower(), None, *_context(masked, m.start(), m.end())))
     known = set()
     for start, stop in families:
         before, after = masked[start - 1 : start], masked[stop : stop + 1]
@@ -276,8 +296,8 @@ def _with_worth(mentions: DataFrame, worth: DataFrame) -> DataFrame:
     return out.withColumn("left", F.coalesce("w_l2", "w_l1", F.lit(0.0))).withColumn("right", F.coalesce("w_r2", "w_r1", F.lit(0.0))).drop("w_l1", "w_l2", "w_r1", "w_r2")
 
 
-def number_mentions(found: DataFrame, kind: str, name: str, trust: float = 0.2) -> DataFrame:
-    """Accepted mentions of one kind of number.
+def number_mentions(found: DataFrame, kind: str, trust: float = 0.2) -> DataFrame:
+    """Accepted mentions of one kind of number, of the shapes it is known to have.
 
     Seeds are the numbers whose shape only this kind has and those that follow
     one of its labels.  A pattern counts where at least ``trust`` of its
@@ -292,7 +312,31 @@ def number_mentions(found: DataFrame, kind: str, name: str, trust: float = 0.2)
     scored = _with_worth(mentions, worth)
     believed = F.greatest("left", "right") >= trust
     doubtless = labelled | (F.col("kind") == own if kind == "phone" else F.lit(False))
-    return scored.filter(believed | doubtless).select("key", F.lit(name).alias("pii_type"), "start", "stop")
+    return scored.filter(believed | doubtless).select(*found.columns)
+
+
+def open_mentions(accepted: DataFrame, open_: DataFrame, trust: float = 0.6, support: int = 3, rounds: int = 8) -> DataFrame:
+    """Mentions of ``open_`` that contexts of ``accepted`` ones bring in, whatever their shape.
+
+    Each round scores the patterns before a mention by the share of accepted
+    ones among all their mentions, then each instance (the shape of a number,
+    the last word of a street; ``w1``) by the share of its mentions in trusted
+    patterns.  Mentions in trusted patterns are accepted where a tenth of their
+    instance's mentions, and at least two, are in such patterns; they are seeds
+    of the next round.  Rounds end when nothing is added.
+    """
+    columns, known, fresh = open_.columns, accepted, None
+    for _ in range(rounds):
+        every = known.withColumn("seed", F.lit(True)).unionByName(open_.withColumn("seed", F.lit(False)))
+        scored = _with_worth(open_, _pattern_worth(every, F.col("seed"), support)).filter(F.col("w1").isNotNull())
+        good = scored.groupBy("w1").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("left") >= trust).cast("double")).alias("share")).filter("n >= 2 and share >= 0.1")
+        more = durable(scored.filter(F.col("left") >= trust).join(good.select("w1"), "w1", "left_semi").select(*columns), "open")
+        if not more.limit(1).count():
+            break
+        fresh = more if fresh is None else fresh.unionByName(more)
+        known = known.unionByName(more)
+        open_ = open_.join(more.select("key", "start"), ["key", "start"], "left_anti").select(*columns)
+    return accepted.limit(0).select(*columns) if fresh is None else fresh
 
 
 def name_mentions(found: DataFrame, rounds: int = 2, trust: float = 0.8, support: int = 3) -> DataFrame:
@@ -325,8 +369,13 @@ def find_pii(documents: DataFrame, roster: DataFrame, key: str = "doc_id", text:
     no seed persons, and then no names are found.
     """
     found = candidates(documents, roster, key, text)
-    sure = found.filter(F.col("kind").isin("email", "street_address")).select("key", F.col("kind").alias("pii_type"), "start", "stop")
-    every = sure.unionByName(number_mentions(found, "phone", "phone")).unionByName(number_mentions(found, "identity", "identity_number")).unionByName(name_mentions(found))
+    named = lambda rows, name: rows.select("key", F.lit(name).alias("pii_type"), "start", "stop")
+    of = lambda *kinds: found.filter(F.col("kind").isin(*kinds))
+    every = named(of("email"), "email").unionByName(name_mentions(found))
+    for kind_, name in (("phone", "phone"), ("identity", "identity_number")):
+        mine = durable(number_mentions(found, kind_), kind_)
+        every = every.unionByName(named(mine, name)).unionByName(named(open_mentions(mine, of("number_like")), name))
+    every = every.unionByName(named(of("street_address"), "street_address")).unionByName(named(open_mentions(of("street_address"), of("street_like")), "street_address"))
     kind = dict(documents.dtypes)[key]
     return every.select(F.col("key").cast(kind).alias(key), "pii_type", (F.col("start") + 1).alias("start_pos"), F.col("stop").alias("end_pos")).distinct()
 

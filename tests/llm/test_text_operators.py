@@ -4,7 +4,7 @@ import json
 import random
 
 from loomgate.llm.collapse import Trie, canonical, layout_copies, radix_bounds
-from loomgate.llm.leaks import Item, bloom_filter, in_filter, leaked_items, myers_best, stretches
+from loomgate.llm.leaks import Item, Stretch, bloom_filter, in_filter, leaked_items, myers_best, stretches
 from loomgate.llm.pii import find_pii, keyword_automaton, redact, scan
 
 RECORD = "event_id string, rendered_prompt string, tool_arguments string, gid string, canon string"
@@ -124,8 +124,8 @@ def test_least_edits_is_the_best_window():
     for _ in range(400):
         item, words = ([str(rng.randrange(4)) for _ in range(n)] for n in (rng.choice([12, 14, 20]), rng.randrange(40)))
         want = min(2, min(edit(item[s : s + 12], words) for s in range(len(item) - 11)))
-        assert Item(item, 12, 1).least_edits(words) == want
-    assert Item(["a", "b"], 12, 1).least_edits(["x", "a", "b"]) == 0 and Item(["a", "b"], 12, 1).least_edits(["a", "x", "b"]) == 2
+        assert Item(item, 12, 1).least_edits(Stretch(words, 6)) == want
+    assert Item(["a", "b"], 12, 1).least_edits(Stretch(["x", "a", "b"], 6)) == 0 and Item(["a", "b"], 12, 1).least_edits(Stretch(["a", "x", "b"], 6)) == 2
 
 
 def test_short_items_and_shared_pieces(spark):
@@ -194,6 +194,23 @@ def corpus():
     return rows + [(100, None), (101, ""), (102, "word " * 30000)]
 
 
+def test_shapes_that_no_list_has(spark):
+    """Numbers of unseen shapes and streets of unseen words are found by the contexts of known ones, and only there."""
+    rng, rows, want = random.Random(8), [], set()
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    for i in range(300):
+        known, odd = i % 3, rng.random()
+        phone = f"+44 7700 {digits(6)}" if known else (f"020 {digits(4)} {digits(4)}" if odd < 0.5 else f"07700 {digits(6)}")
+        number = f"AB{digits(7)}" if known else (f"X{digits(7)}" if odd < 0.5 else f"AB{digits(6)}C")
+        street = f"{rng.randrange(1, 99)} {rng.choice(['Thimble', 'Elm'])} {'Row' if known else rng.choice(['Boulevard', 'Mews'])}"
+        text = f"Ticket {digits(7)} was closed. You may dial {phone} today. Her passport number {number} has lapsed. They moved to {street}, last year. Batch X{digits(7)} left, pallet 020 {digits(4)} {digits(4)} too. We saw 12 Blue Whales."
+        rows.append((i, text))
+        want |= {(i, "phone", text.index(phone) + 1), (i, "identity_number", text.index(number) + 1), (i, "street_address", text.index(street) + 1)}
+    roster = spark.createDataFrame([(1, "Amina", "Okonwe")], "reviewer_id bigint, given_name string, family_name string")
+    got = {tuple(r)[:3] for r in find_pii(spark.createDataFrame(rows, "doc_id bigint, text string"), roster).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
 def test_bootstrapped_patterns(spark):
     docs = spark.createDataFrame(corpus(), "doc_id bigint, text string")
     roster = spark.createDataFrame([(1, *r) for r in ROSTER], "reviewer_id bigint, given_name string, family_name string")
