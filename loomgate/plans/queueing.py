@@ -75,11 +75,11 @@ def tenants(spark, d):
 
 
 def assigned_jobs(spark, d):
-    """The jobs with their tenants, as a table; those without a session are one session."""
+    """(the jobs with their tenants, their number); those without a session are one session."""
     named = F.coalesce(F.concat(F.lit("s"), "session_id"), F.lit(""))  # null keys match nothing
-    by_session = durable(tenants(spark, d).select(named.alias("_session"), "tenant_id"), "tenants")
     rows = durable(jobs(spark, d).withColumn("_session", named), "jobs")
-    return durable(lookup_join(rows, by_session, "_session").drop("_session"), "assigned")
+    by_session = tenants(spark, d).select(named.alias("_session"), "tenant_id")
+    return lookup_join(rows, by_session, "_session").drop("_session"), rows.count()
 
 
 def reference_us(pool) -> int:
@@ -91,8 +91,8 @@ def reference_us(pool) -> int:
 def trace(spark, d, draws: bool = True):
     """(all traces, mean strong service): every method sees the same arrivals and draws."""
     pool = durable(samples(spark, d), "samples")
-    mean, rows = reference_us(pool), assigned_jobs(spark, d)
-    out = arrivals(traces(rows, REGIMES, SEEDS), mean, rows.count())
+    mean, (rows, n) = reference_us(pool), assigned_jobs(spark, d)
+    out = arrivals(traces(rows, REGIMES, SEEDS), mean, n)
     return draw_services(out, pool) if draws else out, mean
 
 
