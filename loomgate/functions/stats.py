@@ -53,7 +53,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str,
     if known.count() <= limit:
         counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
         return counted.groupBy(*keys).agg(F.sum("_n").alias("n"), *[F.percentile("_v", q, F.col("_n")).alias(name) for name, q in qs.items()])
-    found = _ranked(known, keys, sorted(set(qs.values())), limit)
+    near = [F.array(F.floor((F.col("n") - 1) * F.lit(float(q))), F.ceil((F.col("n") - 1) * F.lit(float(q)))) for q in sorted(set(qs.values()))]
+    found = values_at(known, keys, F.array_distinct(F.flatten(F.array(*near))), limit)
     at = lambda q: (F.col("n") - 1) * F.lit(float(q))
     pick = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_v")))
     ends = [c for name, q in qs.items() for c in (pick(F.floor(at(q))).alias(f"_a_{name}"), pick(F.ceil(at(q))).alias(f"_b_{name}"))]
@@ -79,13 +80,15 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> list[Column]:
     return [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys]
 
 
-def _ranked(rows: DataFrame, keys: list[str], qs: list[float], limit: int) -> DataFrame:
-    """``keys, n, _rank, _v`` of the 0-based ranks around each percentile."""
+def values_at(rows: DataFrame, keys: list[str], ranks: Column, limit: int) -> DataFrame:
+    """``keys, n, _rank, _v``: the values of ``_v`` at the 0-based ``ranks``, an array over the size ``n`` of the group.
+
+    No task holds more than ``limit`` rows of a group, unless they are equal.
+    """
     size = F.floor(F.log(F.greatest(F.abs("_v"), F.lit(1e-300))) / math.log(1.05)) + 20_000
     sign = F.when(F.col("_v") == 0, 0).when(F.col("_v") > 0, size).otherwise(-size)
     hist = rows.groupBy(*keys, sign.cast("bigint").alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     hist = hist.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys))).withColumn("_base", F.lit(0).cast("bigint"))
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * F.lit(float(q))), F.ceil((F.col("n") - 1) * F.lit(float(q)))) for q in qs])))
 
     def holding(hist: DataFrame, part: list[str]) -> DataFrame:
         """Buckets that hold a wanted rank, with the number of rows before them."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgate.functions.stats import DIRECT_ROWS, values_at
+
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, capacity: str | None = None) -> DataFrame:
     """``key, quota``: shares of ``total`` in proportion to ``weight``, remainders to the largest fractions.
@@ -42,18 +44,21 @@ def top_by_hash(df: DataFrame, group: list[str], order: Column, tie: str, k: Col
     return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
-def cut_points(df: DataFrame, value: str, parts: int = 3) -> list[int]:
-    """The elements at ranks n/parts, 2n/parts, .. (0-based, rounded down) of an integer column.
+def cut_points(df: DataFrame, value: str, parts: int = 3, direct: int = DIRECT_ROWS) -> list[int]:
+    """The elements at ranks n/parts, 2n/parts, .. (0-based, rounded down) of an integer column; nulls where there are none.
 
-    Found on the counts per value, so only distinct values are ordered.
+    Up to ``direct`` different values are put in order by their counts; with
+    more, only the buckets that hold a wanted rank are split until they fit.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    if counts.limit(direct + 1).count() > direct:
+        rows = df.filter(F.col(value).isNotNull()).select(F.lit(1).alias("_g"), F.col(value).cast("double").alias("_v"))
+        found = values_at(rows, ["_g"], F.array(*[F.floor(F.col("n") * i / parts) for i in range(1, parts)]), direct).collect()  # parts - 1 ranks
+        at = {r["_rank"]: int(r["_v"]) for r in found}
+        return [at[found[0]["n"] * i // parts] for i in range(1, parts)]
     cum = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    out = []
     picked = cum.select(*[F.min(F.when(F.col("upto") > F.floor(F.col("all") * i / parts), F.col(value))).alias(f"c{i}") for i in range(1, parts)]).first()
-    for i in range(1, parts):
-        out.append(picked[f"c{i}"])
-    return out
+    return [picked[f"c{i}"] for i in range(1, parts)]
 
 
 def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -117,3 +117,13 @@ def test_actions_and_archive_rows(spark):
     events = spark.createDataFrame([("e1", "f", 0, sha.upper()), ("e2", "f", 1, sha), ("e3", "f", 9, sha), ("e4", None, None, None)], "event_id string, source_file string, source_row_index bigint, instruction_sha256 string")
     rows = spark.createDataFrame([("f", 0, "Do  it\nNOW "), ("f", 1, "other")], "member string, row_index int, instruction string")
     assert {r["event_id"]: r["verified"] for r in archive_matches(events, rows, "instruction").collect()} == {"e1": True, "e2": False, "e3": False, "e4": False}
+
+
+@pytest.mark.parametrize("direct", [10**6, 5])
+def test_cut_points_of_many_values(spark, direct):
+    rng = random.Random(9)
+    values = [rng.randrange(-50, 400) for _ in range(700)] + [7] * 90
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+    values.sort()
+    assert cut_points(df, "v", direct=direct) == [values[len(values) // 3], values[2 * len(values) // 3]]
+    assert cut_points(df.filter("v > 999"), "v", direct=direct) == [None, None]
