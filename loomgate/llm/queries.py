@@ -308,6 +308,9 @@ g as (select dd.tier, dd.input_length_tercile, dd.metric, day, list_sort(list(v)
   on v.tier = dd.tier and v.input_length_tercile is not distinct from dd.input_length_tercile and v.metric = dd.metric and v.d <= day group by 1, 2, 3, 4),
 x as (select tier, input_length_tercile, metric, day, n, q, vs[greatest(1, ceil(q * n))::bigint] x from g, q)
 select tier, input_length_tercile, metric, day::varchar as day, n, q, round({_CELL_VALUE}, 6) as value, {LEVELS} * (n // {K}) + 1 max_rank_error from x""",
+    # days of fewer than K readings are not compressed: their nodes are the leaves
+    "p6_day_digests": f"""{_READ}, x as (select tier, input_length_tercile, metric, d as day, v x from v)
+select tier, input_length_tercile, metric, day, ({1 << LEVELS} + {HALF} + case when x = 0 then 0 else sign(x) * {_CELL} end)::int node, count(*) n from x group by 1, 2, 3, 4, 5""",
     "p6_rank_check": f"{_READ} select tier, input_length_tercile, metric, q, count(*) n, true kept from v, q group by 1, 2, 3, 4",
     "p1_found": _WORDS + "select distinct least(a, b) event_id_a, greatest(a, b) event_id_b from hit",
     "p1_members": _WORDS
