@@ -280,20 +280,24 @@ def candidates(documents: DataFrame, roster: DataFrame, key: str = "doc_id", tex
     return durable(texts.mapInPandas(run, SCHEMA), "candidates")
 
 
-def _pattern_worth(mentions: DataFrame, seed, support: int) -> DataFrame:
+SIDES = ("l1", "l2", "r1", "r2")
+
+
+def _pattern_worth(mentions: DataFrame, seed, support: int, wanted: tuple[str, ...] = SIDES) -> DataFrame:
     """``side, words, worth``: share of seeds among the mentions of each pattern with enough mentions."""
-    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("words")) for c in ("l1", "l2", "r1", "r2")])).alias("p")
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("words")) for c in wanted])).alias("p")
     counted = mentions.select(seed.cast("double").alias("seed"), sides).groupBy("p.side", "p.words").agg(F.count(F.lit(1)).alias("n"), F.avg("seed").alias("worth"))
     return counted.filter((F.col("n") >= support) & ~F.col("words").isin("^", "$"))
 
 
-def _with_worth(mentions: DataFrame, worth: DataFrame) -> DataFrame:
+def _with_worth(mentions: DataFrame, worth: DataFrame, wanted: tuple[str, ...] = SIDES) -> DataFrame:
     """Adds ``left`` and ``right``: worth of the longer pattern on each side, else of the shorter, else 0."""
     out = mentions
-    for side in ("l1", "l2", "r1", "r2"):
+    for side in wanted:
         mine = worth.filter(F.col("side") == side).select(F.col("words").alias(side), F.col("worth").alias("w_" + side))
         out = out.join(mine, side, "left")
-    return out.withColumn("left", F.coalesce("w_l2", "w_l1", F.lit(0.0))).withColumn("right", F.coalesce("w_r2", "w_r1", F.lit(0.0))).drop("w_l1", "w_l2", "w_r1", "w_r2")
+    of = lambda *cs: F.coalesce(*[F.col(f"w_{c}") for c in cs if c in wanted], F.lit(0.0))
+    return out.withColumn("left", of("l2", "l1")).withColumn("right", of("r2", "r1")).drop(*[f"w_{c}" for c in wanted])
 
 
 def number_mentions(found: DataFrame, kind: str, trust: float = 0.2) -> DataFrame:
@@ -325,10 +329,10 @@ def open_mentions(accepted: DataFrame, open_: DataFrame, trust: float = 0.6, sup
     instance's mentions, and at least two, are in such patterns; they are seeds
     of the next round.  Rounds end when nothing is added.
     """
-    columns, known, fresh = open_.columns, accepted, None
+    columns, known, fresh, before = open_.columns, accepted, None, SIDES[:2]
     for _ in range(rounds):
         every = known.withColumn("seed", F.lit(True)).unionByName(open_.withColumn("seed", F.lit(False)))
-        scored = _with_worth(open_, _pattern_worth(every, F.col("seed"), support)).filter(F.col("w1").isNotNull())
+        scored = _with_worth(open_, _pattern_worth(every, F.col("seed"), support, before), before).filter(F.col("w1").isNotNull())
         good = scored.groupBy("w1").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("left") >= trust).cast("double")).alias("share")).filter("n >= 2 and share >= 0.1")
         more = durable(scored.filter(F.col("left") >= trust).join(good.select("w1"), "w1", "left_semi").select(*columns), "open")
         if not more.limit(1).count():
