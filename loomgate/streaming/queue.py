@@ -32,12 +32,13 @@ def serve(free_us: int, jobs: list[tuple[str, int, int]], cap: int) -> tuple[int
     return free_us, out
 
 
-def queue_outcomes(jobs: DataFrame, max_wait_us: int, idle_ms: int = 3_600_000) -> DataFrame:
+def queue_outcomes(jobs: DataFrame, max_wait_us: int, idle_ms: int | None = None) -> DataFrame:
     """Outcomes of ``jobs``: ``server, job_id, arrival_us, service_us``, a stream.
 
     A job that arrives in a later batch than its successors is served after
     them.  Jobs without an arrival or service are left out.  The state of a
-    server that has had no job for ``idle_ms`` is dropped.
+    server that has had no job for ``idle_ms`` is dropped; without it the one
+    number a server is kept, and a trigger over what is available ends by itself.
     """
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,8 +51,10 @@ def queue_outcomes(jobs: DataFrame, max_wait_us: int, idle_ms: int = 3_600_000)
             rows += [(j, int(a), int(s)) for j, a, s in zip(good["job_id"], good["arrival_us"], good["service_us"])]
         free, out = serve(state.get[0] if state.exists else 0, sorted(rows, key=lambda r: (r[1], r[0] or "")), max_wait_us)
         state.update((free,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *o) for o in out], columns=[c.split()[0] for c in OUT.split(", ")])
 
     picked = jobs.select("server", "job_id", "arrival_us", "service_us")
-    return picked.groupBy("server").applyInPandasWithState(run, OUT, "free_us bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return picked.groupBy("server").applyInPandasWithState(run, OUT, "free_us bigint", "append", timeout)

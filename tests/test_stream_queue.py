@@ -19,7 +19,10 @@ def test_stream_of_jobs(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     done = queue_outcomes(stream, 100).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    done.awaitTermination(120)
+    try:
+        assert done.awaitTermination(120)
+    finally:
+        done.stop()
     got = {r["job_id"]: tuple(r)[2:] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {}
     for s in "ab":
